@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("indicator_queries",)
+MODULES = ("cleaning_queries", "indicator_queries")
 
 
 def load():
