@@ -224,10 +224,10 @@ def six_numbers(values: DataFrame, names: list[str], group: list[str] = []) -> D
     return counted.groupBy(*group, "measure").agg(
         F.sum("_n").alias("n"),
         F.min("_v").alias("minimum"),
-        F.percentile("_v", 0.25, "_n").alias("q1"),
-        F.percentile("_v", 0.5, "_n").alias("median"),
+        F.percentile("_v", 0.25, F.col("_n")).alias("q1"),
+        F.percentile("_v", 0.5, F.col("_n")).alias("median"),
         c.safe_ratio(F.sum(F.col("_v") * F.col("_n")), F.sum("_n")).alias("mean"),
-        F.percentile("_v", 0.75, "_n").alias("q3"),
+        F.percentile("_v", 0.75, F.col("_n")).alias("q3"),
         F.max("_v").alias("maximum"),
     )
 
