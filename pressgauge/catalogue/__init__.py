@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning_queries", "indicator_queries", "profile_queries")
+MODULES = ("cleaning_queries", "indicator_queries", "profile_queries", "feature_queries")
 
 
 def load():
