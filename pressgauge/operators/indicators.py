@@ -187,7 +187,7 @@ def pivot_names(taxonomy: Lookup) -> list[str]:
     return [n for s in sectors for n in [s, *(f"{s}_{r['cat_key']}" for r in rows if r["sector"] == s)]]
 
 
-def _wide(long: DataFrame, keys: list[str], names: list[str], metrics: tuple[str, ...]) -> DataFrame:
+def widen(long: DataFrame, keys: list[str], names: list[str], metrics: tuple[str, ...]) -> DataFrame:
     series = F.when(F.col("granularity") == SECTOR_ROW, F.col("sector")).otherwise(
         F.concat_ws("_", "sector", "granularity")
     )
@@ -204,12 +204,12 @@ def wide_indicators(
     long: DataFrame, days: DataFrame, names: list[str], metrics: tuple[str, ...] = METRICS
 ) -> DataFrame:
     """One row for every day with articles, matched or not."""
-    return days.select("period").join(_wide(long, ["period"], names, metrics), "period", "left")
+    return days.select("period").join(widen(long, ["period"], names, metrics), "period", "left")
 
 
 def wide_geo_indicators(long: DataFrame, names: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """One row per day and region where something matched."""
-    return _wide(long, ["period", "region_key"], names, metrics)
+    return widen(long, ["period", "region_key"], names, metrics)
 
 
 def merge_partial_tables(tables: list[DataFrame], keys: list[str]) -> DataFrame:
