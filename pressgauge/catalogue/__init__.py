@@ -2,7 +2,13 @@
 
 from importlib import import_module
 
-MODULES = ("cleaning_queries", "indicator_queries", "profile_queries", "feature_queries")
+MODULES = (
+    "cleaning_queries",
+    "indicator_queries",
+    "profile_queries",
+    "feature_queries",
+    "series_queries",
+)
 
 
 def load():
