@@ -8,6 +8,7 @@ MODULES = (
     "profile_queries",
     "feature_queries",
     "series_queries",
+    "model_queries",
 )
 
 

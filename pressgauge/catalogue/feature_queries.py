@@ -85,16 +85,12 @@ def inter(t):
     return cleaning.with_source(cleaning.themed(cleaning.dated(t.gkg)), t.dictionary)
 
 
-def registered(t):
-    return stage_lookup(registry.one_per_source(t.domains), "registered")
-
-
 def year_rows(t):
-    return cleaning.from_sources(inter(t), stage_lookup(cleaning.whitelist(inter(t), 1, 2), "lasting"))
+    return cleaning.from_sources(inter(t), t.lasting)
 
 
 def flagged(t):
-    return registry.with_registry_flag(year_rows(t), registered(t))
+    return registry.with_registry_flag(year_rows(t), t.registered)
 
 
 def feature_table(t):
@@ -282,7 +278,7 @@ def first_per_id(t):
 
 @register("jn08_registered_articles", query(f"SELECT {ID}, y.Src_ID, medialabel, countrylabel, inception FROM year_rows y JOIN registered USING (Src_ID)", "year_rows", "registered"))
 def registered_articles(t):
-    rows = registry.in_registry(year_rows(t), registered(t))
+    rows = registry.in_registry(year_rows(t), t.registered)
     return rows.select(ID, "Src_ID", "medialabel", "countrylabel", "inception")
 
 
@@ -294,21 +290,21 @@ UNREGISTERED = query(
 
 @register("jn07_unregistered_articles", UNREGISTERED)
 def unregistered_articles(t):
-    return registry.not_in_registry(year_rows(t), registered(t)).select(ID, "Src_ID", "medialabel")
+    return registry.not_in_registry(year_rows(t), t.registered).select(ID, "Src_ID", "medialabel")
 
 
 @register("prj12_aligned_views", query(
     f"""SELECT {ID}, medialabel, countrylabel FROM year_rows JOIN registered USING (Src_ID) UNION ALL
     SELECT {ID}, NULL, NULL FROM year_rows WHERE Src_ID NOT IN (SELECT Src_ID FROM registered)""", "year_rows", "registered"))
 def aligned_views(t):
-    rows, known = year_rows(t), registered(t)
+    rows, known = year_rows(t), t.registered
     both = registry.in_registry(rows, known).unionByName(registry.not_in_registry(rows, known))
     return both.select(ID, "medialabel", "countrylabel")
 
 
 @register("set02_flagged_union", query(f"SELECT {ID}, is_wiki FROM flagged", "flagged"))
 def flagged_union(t):
-    rows, known = year_rows(t), registered(t)
+    rows, known = year_rows(t), t.registered
     inside = registry.in_registry(rows, known).withColumn("is_wiki", F.lit(1))
     return inside.unionByName(registry.not_in_registry(rows, known).withColumn("is_wiki", F.lit(0))).select(ID, "is_wiki")
 

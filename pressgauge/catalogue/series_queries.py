@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pressgauge.catalogue.indicator_queries import CATEGORIES, GEO, study, study_sector
+from pressgauge.catalogue.indicator_queries import CATEGORIES, study, study_sector
 from pressgauge.catalogue.registry import r6, register, rounded
 from pressgauge.catalogue.sql import add, query
 from pressgauge.catalogue.sql import r6 as sql6
@@ -51,9 +51,8 @@ add("tall_panel", ("panel",), " UNION ALL ".join(
 
 
 def monthly_attention(t):
-    long = ind.long_indicators(ind.regional_articles(t.clean, t.regions), t.taxonomy, GEO)
     wide = ind.wide_geo_indicators(
-        long.filter(F.col("granularity") == ind.SECTOR_ROW), list(MONTHLY_NAMES), ("att",)
+        t.regional_indicators.filter(F.col("granularity") == ind.SECTOR_ROW), list(MONTHLY_NAMES), ("att",)
     )
     means = wide.groupBy("region_key", F.trunc("period", "MM").alias("period")).agg(
         *[F.avg(f"att_{n}").alias(n) for n in MONTHLY_NAMES]

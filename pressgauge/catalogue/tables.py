@@ -13,7 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressgauge.operators import cleaning
+from pressgauge.operators import cleaning, registry
+from pressgauge.operators import indicators as ind
 from pressgauge.operators.lookups import Lookup, stage_lookup
 from pressgauge.session import stage
 
@@ -145,6 +146,22 @@ class Tables:
         base = cleaning.base_articles(self.gkg, self.dictionary)
         return stage_lookup(cleaning.whitelist(base), "whitelist")
 
+    @cached_property
+    def lasting(self) -> Lookup:
+        """Sources active in at least two years, counted on themed articles."""
+        inter = cleaning.with_source(cleaning.themed(cleaning.dated(self.gkg)), self.dictionary)
+        return stage_lookup(cleaning.whitelist(inter, 1, 2), "lasting")
+
+    @cached_property
+    def registered(self) -> Lookup:
+        return stage_lookup(registry.one_per_source(self.domains), "registered")
+
+    @cached_property
+    def regional_indicators(self) -> DataFrame:
+        """Long regional indicators, stored as the regional run leaves them."""
+        regional = ind.regional_articles(self.clean, self.regions)
+        return stage(ind.long_indicators(regional, self.taxonomy, ("region_key",)), "regional-indicators")
+
     @property
     def base(self) -> DataFrame:
         return cleaning.base_articles(self.gkg, self.dictionary)
