@@ -193,12 +193,8 @@ def rows_of(t, models=MODELS, lags=LAGS, inertia=True):
 def all_lags_lasso(t):
     wide = regression.lagged_design(stored_panel(t), list(MONTHLY_NAMES), TARGET, REGION, "period", range(-6, 7))
     names = [c for c in wide.columns if "||" in c]
-    flat = wide.toDF(*[c.replace("||", "__lag").replace("-", "m") for c in wide.columns])
-    columns = [c for c in flat.columns if "__lag" in c]
-    rows = regression.design_rows(flat, {"all_lags": columns}, TARGET, REGION, "period", [0], False)
-    fits = regression.lasso_fits(rows, REGION, "period")
-    named = F.element_at(F.create_map(*[F.lit(x) for pair in zip(columns, names) for x in pair]), F.col("feature"))
-    return fits.withColumn("feature", named)
+    rows = regression.design_rows(wide, {"all_lags": names}, TARGET, REGION, "period", [0], False)
+    return regression.lasso_fits(rows, REGION, "period")
 
 
 @register("rg03_lasso_per_lag")

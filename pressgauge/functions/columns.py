@@ -136,3 +136,12 @@ def no_nan(value: Column) -> Column:
 def safe_ratio(numerator: Column, denominator: Column) -> Column:
     """Quotient as double; NULL when the denominator is 0 or NULL."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
+
+
+def all_present(names: list[str]) -> Column:
+    """No NULL in any of the columns.
+
+    One test on an array: a conjunction over dozens of shifted columns makes
+    the optimizer's constraint inference explode.
+    """
+    return ~F.array_contains(F.array(*[F.col(f"`{n}`").isNull() for n in names]), True)

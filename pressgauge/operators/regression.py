@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressgauge.functions.columns import safe_ratio
+from pressgauge.functions.columns import all_present, safe_ratio
 from pressgauge.functions.labels import significance_text
 from pressgauge.operators.topk import first_per_group
 
@@ -33,8 +33,9 @@ def lagged_design(
 ) -> DataFrame:
     """All lags of all features side by side, complete rows only."""
     window = Window.partitionBy(*keys).orderBy(time)
-    columns = [F.lag(n, lag).over(window).alias(f"{n}||{lag}") for n in names for lag in lags]
-    return aligned.select(*keys, time, F.col(target), *columns).na.drop()
+    columns = [F.lag(F.col(f"`{n}`"), lag).over(window).alias(f"{n}||{lag}") for n in names for lag in lags]
+    wide = aligned.select(*keys, time, F.col(target), *columns)
+    return wide.filter(all_present(wide.columns))
 
 
 def design_rows(
@@ -53,7 +54,7 @@ def design_rows(
     """
     names = list(dict.fromkeys(n for features in models.values() for n in features))
     window = Window.partitionBy(*keys).orderBy(time)
-    shifted = {f"_{i}_{k}": F.lag(n, lag).over(window) for i, n in enumerate([*names, target]) for k, lag in enumerate(lags)}
+    shifted = {f"_{i}_{k}": F.lag(F.col(f"`{n}`"), lag).over(window) for i, n in enumerate([*names, target]) for k, lag in enumerate(lags)}
     wide = aligned.select(*keys, time, F.col(target).alias("y"), *[v.alias(k) for k, v in shifted.items()])
     place = {n: i for i, n in enumerate([*names, target])}
     entries = []
@@ -99,6 +100,11 @@ def product_sums(rows: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
+def _spread(sums: DataFrame, group: list[str]) -> DataFrame:
+    """Few bytes, much arithmetic: one task per core, whatever the data size."""
+    return sums.repartition(sums.sparkSession.sparkContext.defaultParallelism, *group).groupBy(*group)
+
+
 # -- Small solvers on sums of products ---------------------------------------
 
 def _grams(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
@@ -130,7 +136,7 @@ def _lasso_paths(xx: np.ndarray, xy: np.ndarray, alphas: np.ndarray) -> np.ndarr
     fits, p = xy.shape
     w = np.zeros((fits, len(alphas), p))
     diagonal = np.einsum("fjj->fj", xx)
-    for _ in range(5000):
+    for _ in range(1000):
         change = 0.0
         for j in range(p):
             rest = xy[:, j, None] - np.einsum("fap,fp->fa", w, xx[:, j]) + diagonal[:, j, None] * w[:, :, j]
@@ -138,7 +144,7 @@ def _lasso_paths(xx: np.ndarray, xy: np.ndarray, alphas: np.ndarray) -> np.ndarr
             new = np.divide(shrunk, diagonal[:, j, None], out=np.zeros_like(shrunk), where=diagonal[:, j, None] > 1e-12)
             change = max(change, float(np.abs(new - w[:, :, j]).max()))
             w[:, :, j] = new
-        if change < 1e-10:
+        if change < 1e-8:
             break
     return w
 
@@ -231,7 +237,7 @@ def lasso_fits(rows: DataFrame, keys: list[str], time: str, min_rows: int = 20)
     schema = ", ".join(
         [*[f"`{k}` {types[k]}" for k in group], "feature string, coef double, p_value double, n_rows long, alpha double"]
     )
-    return sums.groupBy(*group, "features").applyInPandas(solve, schema)
+    return _spread(sums, [*group, "features"]).applyInPandas(solve, schema)
 
 
 def hold_out_errors(
@@ -275,7 +281,7 @@ def hold_out_errors(
         [*[f"`{k}` {types[k]}" for k in group], "n_train long, n_test long, rmse_naive double, rmse_full double"]
     )
     gain = safe_ratio(F.col("rmse_naive") - F.col("rmse_full"), F.col("rmse_naive")) * 100
-    return sums.groupBy(*group, "features").applyInPandas(solve, schema).withColumn("gain_pct", gain)
+    return _spread(sums, [*group, "features"]).applyInPandas(solve, schema).withColumn("gain_pct", gain)
 
 
 def rank_regions(errors: DataFrame) -> DataFrame:
@@ -448,4 +454,4 @@ def partial_autocorrelation(
 
     types = dict(placed.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in group], "lag int, pacf double"])
-    return sums.groupBy(*group).applyInPandas(solve, schema).select(*keys, "lag", "pacf")
+    return _spread(sums, group).applyInPandas(solve, schema).select(*keys, "lag", "pacf")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pressgauge.functions.columns import no_nan, safe_ratio
+from pressgauge.functions.columns import all_present, no_nan, safe_ratio
 
 ONE_YEAR_OF_TRADING = 252
 
@@ -222,7 +222,8 @@ def shock_volatility(series: DataFrame, volatility: str = "volatility") -> DataF
 
 def align(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on the period (and keys), complete rows only."""
-    return left.join(right, keys).na.drop()
+    joined = left.join(right, keys)
+    return joined.filter(all_present(joined.columns))
 
 
 def attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
