@@ -9,6 +9,7 @@ MODULES = (
     "feature_queries",
     "series_queries",
     "model_queries",
+    "ingest_queries",
 )
 
 
