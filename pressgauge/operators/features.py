@@ -55,7 +55,7 @@ def coefficient(deviation: Column, mean: Column) -> Column:
 
 def _sample_deviation(n: Column, total: Column, squares: Column) -> Column:
     spread = squares.cast("double") - c.safe_ratio(total.cast("double") * total.cast("double"), n)
-    return F.sqrt(F.greatest(c.safe_ratio(spread, n - 1), F.lit(0.0)))
+    return F.when(n > 1, F.sqrt(F.greatest(c.safe_ratio(spread, n - 1), F.lit(0.0))))
 
 
 def _lifespan_stats(total: Column, squares: Column, span: Column) -> tuple[Column, Column]:
@@ -66,7 +66,9 @@ def _lifespan_stats(total: Column, squares: Column, span: Column) -> tuple[Colum
 
 def base_stats(daily: DataFrame, keys: tuple[str, ...] = ("Src_ID",)) -> DataFrame:
     """Articles, word-count mean and CV, distinct themes per article."""
-    sums = daily.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in ("n", "n_words", "words", "words2", "themes")])
+    # Squares fit a long per day, but not over the years of a large source.
+    squares = F.sum(F.col("words2").cast("decimal(38,0)")).cast("double").alias("words2")
+    sums = daily.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in ("n", "n_words", "words", "themes")], squares)
     mean = c.safe_ratio(F.col("words"), F.col("n_words"))
     deviation = _sample_deviation(F.col("n_words"), F.col("words"), F.col("words2"))
     return sums.select(
@@ -102,17 +104,18 @@ def temporal_stats(daily: DataFrame, keys: tuple[str, ...] = ("Src_ID",)) -> Dat
     roll-ups move nothing further.
     """
     n = F.col("n")
+    square = n.cast("double") * n.cast("double")
     placed = daily.select(*keys, "period", "n").repartition(*[F.col(k) for k in keys])
     months = placed.groupBy(*keys, F.trunc("period", "MM").alias("month")).agg(
         F.sum("n").alias("n"),
-        F.sum(n * n).alias("day_squares"),
+        F.sum(square).alias("day_squares"),
         F.count(F.lit(1)).alias("days"),
         F.min("period").alias("first_seen"),
         F.max("period").alias("last_seen"),
     )
     years = months.groupBy(*keys, F.year("month").alias("year")).agg(
         F.sum("n").alias("n"),
-        F.sum(n * n).alias("month_squares"),
+        F.sum(square).alias("month_squares"),
         F.sum("day_squares").alias("day_squares"),
         F.sum("days").alias("days"),
         F.min("first_seen").alias("first_seen"),
@@ -120,7 +123,7 @@ def temporal_stats(daily: DataFrame, keys: tuple[str, ...] = ("Src_ID",)) -> Dat
     )
     source = years.groupBy(*keys).agg(
         F.sum("n").alias("n"),
-        F.sum(n * n).alias("year_squares"),
+        F.sum(square).alias("year_squares"),
         F.sum("month_squares").alias("month_squares"),
         F.sum("day_squares").alias("day_squares"),
         F.sum("days").alias("active_days"),
