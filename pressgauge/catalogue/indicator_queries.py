@@ -84,8 +84,7 @@ def ten_indicators(t):
     ),
 )
 def regional_indicators(t):
-    regional = ind.regional_articles(t.clean, t.regions)
-    return long_rows(ind.long_indicators(regional, t.taxonomy, GEO), *GEO)
+    return long_rows(ind.regional_indicators(t.clean, t.taxonomy, t.regions), *GEO)
 
 
 # -- Regions -----------------------------------------------------------------
@@ -171,7 +170,7 @@ TWO = ("att", "sent_cont")
     query(f"SELECT period, region_key, {pivot_sql(TWO)} FROM geo_indicators GROUP BY 1, 2", "geo_indicators"),
 )
 def wide_regional_table(t):
-    long = ind.long_indicators(ind.regional_articles(t.clean, t.regions), t.taxonomy, GEO)
+    long = ind.regional_indicators(t.clean, t.taxonomy, t.regions)
     return rounded(ind.wide_geo_indicators(long, ind.pivot_names(t.taxonomy), TWO), *names_of(TWO))
 
 

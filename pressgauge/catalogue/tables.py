@@ -159,8 +159,7 @@ class Tables:
     @cached_property
     def regional_indicators(self) -> DataFrame:
         """Long regional indicators, stored as the regional run leaves them."""
-        regional = ind.regional_articles(self.clean, self.regions)
-        return stage(ind.long_indicators(regional, self.taxonomy, ("region_key",)), "regional-indicators")
+        return stage(ind.regional_indicators(self.clean, self.taxonomy, self.regions), "regional-indicators")
 
     @property
     def base(self) -> DataFrame:

@@ -38,23 +38,29 @@ def region_table(regions: Lookup) -> Column:
     return per_region.agg(F.collect_list(F.struct("region_key", "codes"))).scalar()
 
 
-def regional_articles(clean: DataFrame, regions: Lookup) -> DataFrame:
-    """Clean articles repeated once per region they touch; nothing is shuffled.
-
-    An article row already carries its countries, so its regions are found in
-    place. This equals the join on ids as long as ids are unique;
-    ``regional_articles_by_id`` keeps the join for tables with repeated ids.
-    """
+def with_regions(clean: DataFrame, regions: Lookup) -> DataFrame:
+    """Clean articles with the list of ``regions`` they touch, at least one."""
     touched = F.filter(
         F.col("_regions"), lambda r: F.arrays_overlap(r["codes"], F.col("countries_list"))
     )
     return (
         clean.withColumn("_regions", region_table(regions))
-        .withColumn("region_key", F.explode(F.transform(touched, lambda r: r["region_key"])))
+        .withColumn("regions", F.array_sort(F.transform(touched, lambda r: r["region_key"])))
         .drop("_regions", "countries_list")
+        .filter(F.size("regions") > 0)
     )
 
 
+def regional_articles(clean: DataFrame, regions: Lookup) -> DataFrame:
+    """Clean articles repeated once per region they touch; nothing is shuffled.
+
+    An article row already carries its countries, so its regions are found in
+    place. This equals the join on ids as long as ids are unique;
+    ``regional_articles_by_id`` keeps the join for tables with repeated ids.
+    """
+    return with_regions(clean, regions).withColumn("region_key", F.explode("regions")).drop("regions")
+
+
 def article_regions(clean: DataFrame, regions: Lookup) -> DataFrame:
     """Distinct (article, day, region) for every region an article touches."""
     exploded = clean.select("GKGRECORDID", "period", F.explode("countries_list").alias("country_code"))
@@ -165,17 +171,58 @@ def with_metrics(sums: DataFrame) -> DataFrame:
     )
 
 
+def article_weights(clean: DataFrame, taxonomy: Lookup, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Weight of each article per category and per sector, in one aggregation.
+
+    The taxonomy lists every theme for its category and once more for its
+    sector. Category rows are kept apart by the article's attributes, sector
+    rows only by its id, so copies of an id that differ behave as in
+    ``category_sums`` and ``sector_sums``; those two share no work, this does.
+    """
+    both = Lookup(
+        taxonomy.frame.select(
+            "theme", "sector", F.explode(F.array("cat_key", F.lit(SECTOR_ROW))).alias("granularity")
+        ),
+        taxonomy.rows * 2,
+    )
+    attributes = ("tone", "tone_bin", "total_themes_count")
+    mentions = clean.select("GKGRECORDID", "period", *keys, *attributes, F.explode("themes_list").alias("theme"))
+    by_category = F.col("granularity") != SECTOR_ROW
+    return (
+        lookup_join(mentions, both, ["theme"], spread_by="GKGRECORDID")
+        .withColumns({f"_{a}": F.when(by_category, F.col(a)) for a in attributes})
+        .groupBy("GKGRECORDID", "period", *keys, "sector", "granularity", *[f"_{a}" for a in attributes])
+        .agg(F.count(F.lit(1)).alias("theme_hits"), *[F.any_value(a, True).alias(a) for a in attributes])
+        .withColumn("w", safe_ratio(F.col("theme_hits"), F.col("total_themes_count")))
+        .select("period", *keys, "sector", "granularity", "tone", "tone_bin", "w")
+    )
+
+
 def long_indicators(clean: DataFrame, taxonomy: Lookup, keys: tuple[str, ...] = ()) -> DataFrame:
     """Category and sector rows with all sums and indicators.
 
     The daily totals hold one row per calendar day (and region of the fixed
     region map), which bounds the broadcast.
     """
-    hits = theme_hits(clean, taxonomy, keys)
-    sums = category_sums(hits, keys).unionByName(sector_sums(hits, keys))
+    weights = article_weights(clean, taxonomy, keys)
+    sums = weights.groupBy("period", *keys, "sector", "granularity").agg(*_weighted_sums(F.col("w")))
     return with_metrics(sums.join(F.broadcast(daily_totals(clean, keys)), ["period", *keys], "left"))
 
 
+def regional_indicators(clean: DataFrame, taxonomy: Lookup, regions: Lookup) -> DataFrame:
+    """Long indicators per region, for tables with unique ids.
+
+    An article weighs the same in all its regions, so the weights are made
+    once per article and only they are repeated per region.
+    """
+    placed = with_regions(clean, regions)
+    weights = article_weights(placed, taxonomy, ("regions",)).withColumn("region_key", F.explode("regions"))
+    sums = weights.groupBy("period", "region_key", "sector", "granularity").agg(*_weighted_sums(F.col("w")))
+    ids = placed.select("GKGRECORDID", "period", F.explode("regions").alias("region_key"))
+    totals = daily_totals(ids, ("region_key",))
+    return with_metrics(sums.join(F.broadcast(totals), ["period", "region_key"], "left"))
+
+
 def pivot_names(taxonomy: Lookup) -> list[str]:
     """Column suffixes ``sector`` and ``sector_category``, in order.
 

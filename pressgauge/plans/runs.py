@@ -44,8 +44,10 @@ def geo_run(
     """The same per region. Tables with repeated ids need ``unique_ids=False``."""
     sources = whitelist or stage_lookup(cleaning.global_whitelist(articles, dictionary, rules), "whitelist")
     clean = cleaning.clean_articles(articles, dictionary, sources, rules)
-    place = ind.regional_articles if unique_ids else ind.regional_articles_by_id
-    return ind.long_indicators(place(clean, regions), _chosen(taxonomy, sectors), ("region_key",))
+    chosen = _chosen(taxonomy, sectors)
+    if unique_ids:
+        return ind.regional_indicators(clean, chosen, regions)
+    return ind.long_indicators(ind.regional_articles_by_id(clean, regions), chosen, ("region_key",))
 
 
 def source_run(
