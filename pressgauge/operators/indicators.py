@@ -38,19 +38,6 @@ def region_table(regions: Lookup) -> Column:
     return per_region.agg(F.collect_list(F.struct("region_key", "codes"))).scalar()
 
 
-def with_regions(clean: DataFrame, regions: Lookup) -> DataFrame:
-    """Clean articles with the list of ``regions`` they touch, at least one."""
-    touched = F.filter(
-        F.col("_regions"), lambda r: F.arrays_overlap(r["codes"], F.col("countries_list"))
-    )
-    return (
-        clean.withColumn("_regions", region_table(regions))
-        .withColumn("regions", F.array_sort(F.transform(touched, lambda r: r["region_key"])))
-        .drop("_regions", "countries_list")
-        .filter(F.size("regions") > 0)
-    )
-
-
 def regional_articles(clean: DataFrame, regions: Lookup) -> DataFrame:
     """Clean articles repeated once per region they touch; nothing is shuffled.
 
@@ -58,7 +45,14 @@ def regional_articles(clean: DataFrame, regions: Lookup) -> DataFrame:
     place. This equals the join on ids as long as ids are unique;
     ``regional_articles_by_id`` keeps the join for tables with repeated ids.
     """
-    return with_regions(clean, regions).withColumn("region_key", F.explode("regions")).drop("regions")
+    touched = F.filter(
+        F.col("_regions"), lambda r: F.arrays_overlap(r["codes"], F.col("countries_list"))
+    )
+    return (
+        clean.withColumn("_regions", region_table(regions))
+        .withColumn("region_key", F.explode(F.transform(touched, lambda r: r["region_key"])))
+        .drop("_regions", "countries_list")
+    )
 
 
 def article_regions(clean: DataFrame, regions: Lookup) -> DataFrame:
@@ -210,17 +204,8 @@ def long_indicators(clean: DataFrame, taxonomy: Lookup, keys: tuple[str, ...] =
 
 
 def regional_indicators(clean: DataFrame, taxonomy: Lookup, regions: Lookup) -> DataFrame:
-    """Long indicators per region, for tables with unique ids.
-
-    An article weighs the same in all its regions, so the weights are made
-    once per article and only they are repeated per region.
-    """
-    placed = with_regions(clean, regions)
-    weights = article_weights(placed, taxonomy, ("regions",)).withColumn("region_key", F.explode("regions"))
-    sums = weights.groupBy("period", "region_key", "sector", "granularity").agg(*_weighted_sums(F.col("w")))
-    ids = placed.select("GKGRECORDID", "period", F.explode("regions").alias("region_key"))
-    totals = daily_totals(ids, ("region_key",))
-    return with_metrics(sums.join(F.broadcast(totals), ["period", "region_key"], "left"))
+    """Long indicators per region, for tables with unique ids."""
+    return long_indicators(regional_articles(clean, regions), taxonomy, ("region_key",))
 
 
 def pivot_names(taxonomy: Lookup) -> list[str]:
