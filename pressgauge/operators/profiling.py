@@ -377,10 +377,11 @@ def theme_shares(articles: DataFrame, k: int = 20) -> DataFrame:
     theme; the ranking is the sum of those counts.
     """
     month = c.month_text(F.col("DATE")).alias("month")
+    named = F.filter(c.pieces(F.col("EnhancedThemes")), lambda p: p != "")
+    themes = F.transform(named, lambda p: c.raw_theme_key(F.trim(p)))
     votes = (
-        articles.select("GKGRECORDID", month, F.explode(c.pieces(F.col("EnhancedThemes"))).alias("_p"))
-        .filter(F.col("_p") != "")
-        .select("GKGRECORDID", "month", c.raw_theme_key(F.trim("_p")).alias("theme"))
+        # Repeats go inside the row; the shuffle only meets copies of an id.
+        articles.select("GKGRECORDID", month, F.explode(F.array_distinct(themes)).alias("theme"))
         .distinct()
         .groupBy("month", "theme")
         .agg(F.count(F.lit(1)).alias("votes"))
