@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pressgauge.catalogue.registry import r6, register, rounded
-from pressgauge.catalogue.sql import DAY, THEMED, add, query
+from pressgauge.catalogue.registry import register, rounded
+from pressgauge.catalogue.sql import DAY, add, query
 from pressgauge.catalogue.sql import r6 as sql6
 from pressgauge.functions import columns as c
 from pressgauge.operators import cleaning, clusters, features, profiling, registry, topk

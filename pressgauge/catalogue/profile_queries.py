@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 from pressgauge.catalogue.cleaning_queries import (
     ACTIVITY, LONGEVITY_CASE, SHORT_WORD_CASE, VOLUME_CASE, WORD_CASE,
 )
-from pressgauge.catalogue.registry import r6, register, rounded
-from pressgauge.catalogue.sql import DAY, THEMED, VALID, add, query
+from pressgauge.catalogue.registry import register, rounded
+from pressgauge.catalogue.sql import DAY, add, query
 from pressgauge.catalogue.sql import r6 as sql6
-from pressgauge.functions import columns as c
 from pressgauge.operators import cleaning, profiling, topk
-from pressgauge.operators.lookups import stage_lookup
-from pressgauge.settings import CleaningRules
 
 ID = "GKGRECORDID"
 DRAW = "('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 8))::UBIGINT"

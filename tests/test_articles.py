@@ -8,7 +8,7 @@ from pressgauge.functions import labels
 from pressgauge.operators import cleaning, graph
 from pressgauge.operators import indicators as ind
 from pressgauge.operators import substring
-from pressgauge.operators.lookups import Lookup, lookup_join, measure
+from pressgauge.operators.lookups import lookup_join, measure
 from pressgauge.settings import CleaningRules
 
 SCHEMA = ("GKGRECORDID string, DATE string, SourceCommonName_ID int, DocumentIdentifier string, "
