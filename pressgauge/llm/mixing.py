@@ -36,7 +36,7 @@ def _filled(rows: DataFrame, group: list[str], cap: Column, share: Column, amoun
     """Share ``amount`` by ``share`` among the rows of a group, none above its ``cap``: adds ``level``.
 
     A row receives ``min(cap, level * share)``. Rows fill up in the order of
-    ``cap / share``; the level is set by the first that does not.
+    ``cap / share``; the level is that of the first that does not, the largest from there on.
     """
     rows = rows.withColumns({"_cap": cap.cast("decimal(38,0)"), "_share": share.cast("decimal(38,0)")})
     whole = Window.partitionBy(*group)
@@ -49,7 +49,7 @@ def _filled(rows: DataFrame, group: list[str], cap: Column, share: Column, amoun
     level = (amount.cast("double") - before("_cap")) / (F.sum("_share").over(whole).cast("double") - before("_share"))
     rows = rows.withColumn("_level", level)
     short = F.col("_level") * F.col("_share").cast("double") < F.col("_cap").cast("double")
-    return rows.withColumn("level", F.min(F.when(short, F.col("_level"))).over(whole)).drop("_level", "_cap", "_share")
+    return rows.withColumn("level", F.max(F.when(short, F.col("_level"))).over(whole)).drop("_level", "_cap", "_share")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, max_copies: int) -> DataFrame:
@@ -170,7 +170,7 @@ fill AS (
   SELECT *, (budget - coalesce(sum(2 * source_size) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS lv
   FROM weighted
   WINDOW o AS (ORDER BY 2.0 * source_size / weight, weight ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-lev AS (SELECT *, min(CASE WHEN lv * weight < 2 * source_size THEN lv END) OVER () AS level FROM fill),
+lev AS (SELECT *, max(CASE WHEN lv * weight < 2 * source_size THEN lv END) OVER () AS level FROM fill),
 targets AS (
   SELECT source, source_size, CAST(coalesce(least(2.0 * source_size, level * weight), 2.0 * source_size) AS DOUBLE) AS target
   FROM lev),
@@ -182,7 +182,7 @@ klev AS (
     / (CAST(sum(w * size) OVER (PARTITION BY source) AS DOUBLE) - CAST(coalesce(sum(w * size) OVER o, 0) AS DOUBLE)) AS lv
   FROM kinds
   WINDOW o AS (PARTITION BY source ORDER BY 2.0 * size / (w * size), w * size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-k AS (SELECT source, min(CASE WHEN lv * CAST(w * size AS DOUBLE) < 2 * size THEN lv END) AS level FROM klev GROUP BY source),
+k AS (SELECT source, max(CASE WHEN lv * CAST(w * size AS DOUBLE) < 2 * size THEN lv END) AS level FROM klev GROUP BY source),
 plan AS (
   SELECT d.doc_id, d.source, d.size, d.w, d.u, t.source_size, t.target,
     CASE WHEN t.target >= 2 * t.source_size THEN 2.0 ELSE least(2.0, coalesce(k.level, 0) * d.w) END AS e
