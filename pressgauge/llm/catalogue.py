@@ -1,4 +1,4 @@
 """Loads the modules that register queries."""
 
-from pressgauge.llm import chat, jaccard, mixing, quality, substrings, toxicity  # noqa: F401
+from pressgauge.llm import chat, jaccard, mixing, quality, shards, substrings, toxicity  # noqa: F401
 from pressgauge.llm.common import ORACLES, QUERIES  # noqa: F401
