@@ -14,13 +14,16 @@ documents. Within a class of counts, each order has a hash of its own.
 2. Under the first order, every class lists its prefix tokens. In the list of
    a token, each class is paired with the smallest one. Verified pairs are
    joined to components.
-3. In lists whose classes are still in different components, all pairs across
-   components that were not tried are tried. Pairs inside a component need no
-   test, so a large group of near copies costs one pair for each member and
-   loses no link.
-4. Pairs that pass the other orders are verified on their whole sets.
+3. In lists whose classes are still in different components, the other pairs
+   across components are tried. Pairs inside a component need no test.
+4. Pairs must agree in size and in the parities of ``BITS`` cells: the cells
+   whose parity differs are at most the tokens that only one of the two has.
+   In step 3 the members of a list are compared by these bits in blocks inside
+   a task, and only pairs that pass become rows.
+5. Pairs that pass the other orders too are verified on their whole sets.
 
-Tokens are 64-bit hashes of n-grams; a set's identity has 128 bits.
+Each filter is a necessary condition, so no link is lost. Tokens are 64-bit
+hashes of n-grams; a set's identity has 128 bits.
 
 Defined results: null text, or one without words, has an empty set and links
 with nothing; fewer than ``n`` words are one token; repeated rows are in one
@@ -44,6 +47,7 @@ from pressgauge.llm.vectors import mixed, shingle_sets
 
 WIDTH, BLOCK = 1 << 20, 1 << 14
 IDS = 16_777_213  # cells of the filter on candidate ids, a prime
+BITS = 1024
 
 _SIGNED = np.int64
 
@@ -69,27 +73,38 @@ def _first(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) ->
     return tokens[np.argpartition(rank, length - 1)[:length]]
 
 
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """Whether each of ``BITS`` cells holds an odd number of tokens."""
+    cells = np.bincount(((tokens >> np.uint64(24)) % np.uint64(BITS)).astype(np.int64), minlength=BITS)
+    return np.packbits((cells & 1).astype(bool)).view(_SIGNED)
+
+
 def _signatures(n: int):
-    """Per document its set's size and identity; at the end the task's counts, by block."""
+    """Per document its set's size, identity and parities; at the end the task's counts, by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(WIDTH, np.uint32)
         for batch in batches:
-            sizes, ids = [], []
+            sizes, ids, bits = [], [], [np.zeros(0, _SIGNED)]
             for tokens in shingle_sets(batch.column(1), n):
                 sizes.append(len(tokens))
                 ids.append(_identity(tokens))
+                bits.append(_parities(tokens))
                 np.add.at(counts, tokens & np.uint64(WIDTH - 1), np.uint32(1))
             k = len(sizes)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "n": pa.array(sizes, pa.int64()),
                 "k1": pa.array([x[0] for x in ids], pa.int64()), "k2": pa.array([x[1] for x in ids], pa.int64()),
+                "bits": pa.ListArray.from_arrays(
+                    pa.array(np.arange(k + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate(bits))
+                ),
                 "block": pa.nulls(k, pa.int32()), "counts": pa.nulls(k, pa.binary()),
             })
         k = WIDTH // BLOCK
         none = pa.nulls(k, pa.int64())
         yield pa.RecordBatch.from_pydict({
-            "doc_id": none, "n": none, "k1": none, "k2": none, "block": pa.array(range(k), pa.int32()),
+            "doc_id": none, "n": none, "k1": none, "k2": none, "bits": pa.nulls(k, pa.list_(pa.int64())),
+            "block": pa.array(range(k), pa.int32()),
             "counts": pa.array([counts[i * BLOCK : (i + 1) * BLOCK].tobytes() for i in range(k)], pa.binary()),
         })
 
@@ -174,6 +189,53 @@ def _verified(n: int, percent: int, orders: int, classes):
     return run
 
 
+def _across(percent: int):
+    """Pairs of a list across components that agree in size and parities: (a, the others) for each member."""
+
+    def pairs(rows: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        order = np.argsort(rows["node"])
+        node, part, n, bits = (rows[c][order] for c in ("node", "component", "n", "bits"))
+        step = max(1, (1 << 18) // len(node))
+        for i in range(0, len(node), step):
+            mine = slice(i, i + step)
+            unlike = np.zeros((len(node[mine]), len(node)), np.int64)
+            for word in range(bits.shape[1]):
+                unlike += np.bitwise_count(bits[mine, word][:, None] ^ bits[:, word])
+            both = n[mine][:, None] + n
+            may = unlike * (100 + percent) <= (100 - percent) * both
+            may &= 100 * np.minimum(n[mine][:, None], n) >= percent * np.maximum(n[mine][:, None], n)
+            may &= (part[mine][:, None] != part) & (node[mine][:, None] < node)
+            for row in np.flatnonzero(may.any(1)):
+                yield int(node[i + row]), node[may[row]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def written(groups: list[dict]) -> pa.RecordBatch:
+            found = [p for g in groups if len(g["node"]) > 1 for p in pairs(g)]
+            ends = np.cumsum([0, *(len(b) for _, b in found)]).astype(np.int32)
+            others = np.concatenate([np.zeros(0, _SIGNED), *(b for _, b in found)])
+            return pa.RecordBatch.from_pydict({
+                "a": pa.array([a for a, _ in found], pa.int64()),
+                "others": pa.ListArray.from_arrays(pa.array(ends), pa.array(others)),
+            })
+
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = ("token", "node", "component", "n")
+            now = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
+            now["bits"] = batch.column(4).flatten().to_numpy().reshape(batch.num_rows, -1)
+            if held is not None:
+                now = {c: np.concatenate([held[c], now[c]]) for c in now}
+            edges = np.flatnonzero(np.concatenate([[True], now["token"][1:] != now["token"][:-1]])).tolist()
+            yield written([{c: x[a:b] for c, x in now.items()} for a, b in zip(edges[:-1], edges[1:], strict=True)])
+            held = {c: x[edges[-1] :] for c, x in now.items()}  # its list may go on in the next batch
+        if held is not None:
+            yield written([held])
+
+    return run
+
+
 def _bits(ids: DataFrame, spark) -> bytes:
     """A filter of ``IDS`` cells, whatever the number of ids."""
     cell = F.pmod(F.col("doc_id"), F.lit(IDS))
@@ -192,7 +254,7 @@ def linked(documents: DataFrame, n: int = 5, percent: int = 80, orders: int = 3)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = stage(
         texts.mapInArrow(
-            _signatures(n), "doc_id long, n long, k1 long, k2 long, block int, counts binary"
+            _signatures(n), "doc_id long, n long, k1 long, k2 long, bits array<long>, block int, counts binary"
         ),
         "jaccard-signatures",
     )
@@ -202,7 +264,9 @@ def linked(documents: DataFrame, n: int = 5, percent: int = 80, orders: int = 3)
         np.frombuffer(b"".join(bytes(cells[b]) for b in sorted(cells)) or bytes(WIDTH), np.uint8)
     )
     signatures = first.filter("block is null").select("doc_id", "n", "k1", "k2")
-    sets = signatures.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"))
+    sets = first.filter("block is null").filter("n > 0").groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.any_value("bits").alias("bits")
+    )
     sets = stage(sets.withColumn("node", F.monotonically_increasing_id()), "jaccard-sets")
 
     prefixes = texts.mapInArrow(_prefixes(n, percent, classes), "doc_id long, k1 long, k2 long, prefix array<long>")
@@ -217,14 +281,13 @@ def linked(documents: DataFrame, n: int = 5, percent: int = 80, orders: int = 3)
     lists = postings.join(leaders.filter("leader != last"), "token").select("token", "node", "leader")
     lists = stage(lists, "jaccard-lists")
 
-    sizes = sets.select("node", "n")
-
-    def similar_in_size(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-        return sized.filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
+    facts = sets.select("node", "n", "bits")
+    alike = f"""100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * aggregate(
+        zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (x, y) -> x + y) <= {100 - percent} * (na + nb)"""
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stage(similar_in_size(pairs), "jaccard-pairs")
+        known = pairs.join(facts.toDF("a", "na", "bits_a"), "a").join(facts.toDF("b", "nb", "bits_b"), "b")
+        pairs = stage(known.filter(alike).select("a", "b"), "jaccard-pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = stage(ids.join(sets, "node").select("node", "k1", "k2", F.col("first_id").alias("doc_id")), "jaccard-ids")
         bits = spark.sparkContext.broadcast(_bits(wanted, spark))
@@ -250,14 +313,12 @@ def linked(documents: DataFrame, n: int = 5, percent: int = 80, orders: int = 3)
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("k")
     )
     rest = named.filter("node != leader").join(split.filter("low != high and k > 2").select("token"), "token")
-    one, two = rest.alias("x"), rest.alias("y")
-    across = one.join(
-        two,
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.node") < F.col("y.node"))
-        & (F.col("x.component") != F.col("y.component")),
-    )
-    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    rest = rest.join(facts, "node").select("token", "node", "component", "n", "bits")
+    dealt = rest.repartition("token").sortWithinPartitions("token")
+    others = dealt.mapInArrow(_across(percent), "a long, others array<long>")
+    # A pair is found in the list of each token that it shares: made one before it becomes a row.
+    others = others.groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    across = stage(others.select("a", F.explode("others").alias("b")), "jaccard-across")
     near = near.unionByName(verify(across))
     groups = links.components(near)
 
@@ -271,6 +332,22 @@ def linked(documents: DataFrame, n: int = 5, percent: int = 80, orders: int = 3)
     )
 
 
+def representatives(documents: DataFrame, **options) -> DataFrame:
+    """The documents with the smallest id of their component, in their own columns.
+
+    Documents without an id stay; of rows of equal id and text one stays.
+    """
+    found = stage(linked(documents, **options), "jaccard-found")
+    gone = found.filter("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
+    gone = stage(gone, "jaccard-gone")
+    kept = documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    twice = stage(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "jaccard-twice")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, "doc_id", "left_anti").select(*documents.columns)
+    return once.unionByName(kept.join(twice, "doc_id", "left_semi").select(*documents.columns).dropDuplicates(["doc_id", "text"]))
+
+
 @query("op10_ngram_jaccard")
 def op10_ngram_jaccard(spark, sf_dir):
     """Components of all documents by 4-word shingles that overlap by 85 % of their union."""
