@@ -406,12 +406,11 @@ def stepwise_filters(t):
     "ag05_pure_sources",
     query(
         "SELECT Src_ID, count(*) AS n FROM sourced JOIN pure USING (Src_ID) GROUP BY 1", "sourced",
-        pure="SELECT Src_ID FROM sourced GROUP BY 1 HAVING count(*) > (SELECT count(*) / 50.0 FROM sourced) "
+        pure="SELECT Src_ID FROM sourced GROUP BY 1 HAVING count(*) > 300 "
              "AND count(DISTINCT substr(DATE, 1, 4)) >= 2",
     ),
 )
 def pure_sources(t):
     rows = cleaning.with_source(cleaning.dated(t.gkg), t.dictionary)
-    # The default of 1000 articles scaled to the data: the mean per source.
-    pure = stage_lookup(cleaning.pure_sources(rows, rows.count() // 50), "pure")
+    pure = stage_lookup(cleaning.pure_sources(rows, 300), "pure")
     return cleaning.from_sources(rows, pure).groupBy("Src_ID").agg(F.count(F.lit(1)).alias("n"))

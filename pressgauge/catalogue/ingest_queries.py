@@ -111,11 +111,10 @@ def translated_flag(t):
 
 @register(
     "ing04_blank_text",
-    query(f"SELECT {ID}, coalesce(EnhancedThemes, '') = '' AS no_themes, Persons FROM gkg", "gkg"),
+    query("SELECT " + ", ".join(f"coalesce({c}, '') AS {c}" for c in ingest.TEXT_COLUMNS) + " FROM raw_rows", "raw_rows"),
 )
 def blank_text(t):
-    filled = t.gkg.na.fill("", list(ingest.TEXT_COLUMNS))
-    return filled.select(ID, (F.col("EnhancedThemes") == "").alias("no_themes"), "Persons")
+    return ingest.typed_records(records(t)).select(*ingest.TEXT_COLUMNS)
 
 
 @register("ing05_first_in_file", query(f"SELECT {ID}, IsTranslingual FROM gkg", "gkg"))

@@ -141,12 +141,13 @@ def scaled_centres(t):
 @register(
     "ml09_label_centres",
     query(
-        f"SELECT label, count(*) AS n, {', '.join(f'{sql6(f'avg(embedding[{i + 1}])')} AS e{i}' for i in range(4))} FROM embeddings GROUP BY 1"
+        f"SELECT label, count(*) AS n, {', '.join(f'{sql6(f'avg(embedding[{i + 1}])')} AS e{i}' for i in range(64))} FROM embeddings GROUP BY 1"
     ),
 )
 def label_centres(t):
-    vectors = t.read("embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)])
-    return rounded(clusters.centres(vectors, [f"e{i}" for i in range(4)], "label"), *[f"e{i}" for i in range(4)])
+    names = [f"e{i}" for i in range(64)]
+    vectors = t.read("embeddings").select("label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return rounded(clusters.centres(vectors, names, "label"), *names)
 
 
 # -- Regressions -------------------------------------------------------------
@@ -299,14 +300,15 @@ def first_order(t):
 # -- Graph -------------------------------------------------------------------
 
 THRESHOLD = 5
-add("edges", ("final",), f"""
+add("all_edges", ("final",), """
     SELECT a.year, a.theme AS src, b.theme AS dst, CAST(sum(a.n * b.n) AS BIGINT) AS weight
     FROM (SELECT GKGRECORDID, substr(DATE, 1, 4) AS year, split_part(trim(p), ',', 1) AS theme, count(*) AS n
           FROM (SELECT GKGRECORDID, DATE, unnest(string_split(EnhancedThemes, ';')) AS p FROM final) GROUP BY 1, 2, 3) a
     JOIN (SELECT GKGRECORDID, split_part(trim(p), ',', 1) AS theme, count(*) AS n
           FROM (SELECT GKGRECORDID, unnest(string_split(EnhancedThemes, ';')) AS p FROM final) GROUP BY 1, 2) b
       ON a.GKGRECORDID = b.GKGRECORDID AND a.theme < b.theme
-    GROUP BY 1, 2, 3 HAVING sum(a.n * b.n) > {THRESHOLD}""")
+    GROUP BY 1, 2, 3""")
+add("edges", ("all_edges",), f"SELECT * FROM all_edges WHERE weight > {THRESHOLD}")
 
 
 @register("gr01_cooccurrence", query("SELECT * FROM edges", "edges"))
@@ -314,9 +316,9 @@ def cooccurrence(t):
     return graph.cooccurrence(final(t), THRESHOLD)
 
 
-@register("jn10_theme_pairs", query("SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM edges GROUP BY 1, 2", "edges"))
+@register("jn10_theme_pairs", query("SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM all_edges GROUP BY 1, 2", "all_edges"))
 def theme_pairs(t):
-    edges = graph.cooccurrence(final(t), THRESHOLD)
+    edges = graph.cooccurrence(final(t), 0)
     return edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
@@ -331,19 +333,17 @@ def strongest_edges(t):
     return graph.strongest_edges(graph.cooccurrence(final(t), THRESHOLD))
 
 
-# Communities of the strongest edges, so that there is more than one.
+# Communities of all edges above a threshold high enough that there is more than one.
+STRONG = 60
+
+
 @register(
     "gr02_components",
     query(
-        "SELECT node, min(label) AS component FROM reach GROUP BY 1", "edges",
-        strong="SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY weight DESC, src, dst) AS r FROM edges "
-               "WHERE src NOT IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD') AND dst NOT IN ('ECONOMY', 'LARGE', 'MEDIUM', 'PROMO', 'SMALL', 'STANDARD')) WHERE r <= 5",
-        links="SELECT src, dst FROM strong UNION SELECT dst, src FROM strong",
+        "SELECT node, min(label) AS component FROM reach GROUP BY 1", "all_edges",
+        links=f"SELECT src, dst FROM all_edges WHERE weight > {STRONG} UNION SELECT dst, src FROM all_edges WHERE weight > {STRONG}",
         reach="SELECT src AS node, src AS label FROM links UNION SELECT l.dst, r.label FROM reach r JOIN links l ON l.src = r.node",
     ),
 )
 def components(t):
-    edges = graph.cooccurrence(final(t), THRESHOLD)
-    kinds = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-    named = edges.filter(~F.col("src").isin(kinds) & ~F.col("dst").isin(kinds))
-    return graph.components(graph.strongest_edges(named, 5))
+    return graph.components(graph.cooccurrence(final(t), STRONG))

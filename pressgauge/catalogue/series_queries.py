@@ -222,13 +222,18 @@ def market_alignment(t):
 @register(
     "jn17_attached_macro",
     query(
-        "SELECT d.day, n_articles, round(value + 1e-9, 4) AS value FROM daily d LEFT JOIN (SELECT period AS day, sum(value) AS value "
-        "FROM interpolated WHERE region_key = 'ASIA' GROUP BY 1) m ON d.day = m.day", "daily", "interpolated",
+        "SELECT d.day, d.n_articles, r.region_key, round(m.value + 1e-9, 4) AS value FROM daily d "
+        "JOIN (SELECT DISTINCT region_key FROM interpolated) r ON true "
+        "LEFT JOIN (SELECT period AS day, region_key, sum(value) AS value FROM interpolated GROUP BY 1, 2) m "
+        "ON d.day = m.day AND r.region_key = m.region_key", "daily", "interpolated",
     ),
 )
 def attached_macro(t):
-    asia = s.interpolated(t.macro.filter(F.col("region_key") == "ASIA"), "value", REGION, "period")
-    joined = s.attach(t.daily.select("day", "n_articles"), asia.select(F.col("period").alias("day"), "value"), ["day"])
+    # Every day of every region: the days are repeated by the regions of the macro table, inside the row.
+    regions = F.array(*[F.lit(r["region_key"]) for r in t.macro.select("region_key").distinct().collect()])
+    days = t.daily.select("day", "n_articles", F.explode(regions).alias("region_key"))
+    macro = s.interpolated(t.macro, "value", REGION, "period").select(F.col("period").alias("day"), "region_key", "value")
+    joined = s.attach(days, macro, ["day", "region_key"])
     return joined.withColumn("value", F.round(F.col("value") + 1e-9, 4))
 
 

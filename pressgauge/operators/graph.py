@@ -18,9 +18,18 @@ def theme_bags(articles: DataFrame) -> DataFrame:
     present = articles.filter(F.col("EnhancedThemes").isNotNull() & (F.col("EnhancedThemes") != ""))
     keys = F.transform(c.pieces(F.col("EnhancedThemes")), lambda p: c.raw_theme_key(F.trim(p)))
     rows = present.select("GKGRECORDID", c.year_text(F.col("DATE")).alias("year"), keys.alias("_k"))
+    # Equal themes stand together once sorted: a count is the distance of two first places.
+    rows = rows.withColumn("_k", F.array_sort("_k"))
+    size = F.size("_k")
+    new = F.filter(
+        F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | ~F.get("_k", i).eqNullSafe(F.get("_k", i - 1))
+    )
+    rows = rows.withColumn("_at", F.when(size > 0, new).otherwise(F.array().cast("array<int>")))
     bag = F.transform(
-        F.array_sort(F.array_distinct("_k")),
-        lambda t: F.struct(t.alias("theme"), F.size(F.filter("_k", lambda k: k == t)).cast("long").alias("n")),
+        "_at",
+        lambda i, j: F.struct(
+            F.get("_k", i).alias("theme"), (F.coalesce(F.get("_at", j + 1), size) - i).cast("long").alias("n")
+        ),
     )
     return rows.select("GKGRECORDID", "year", bag.alias("bag"))
 
@@ -48,18 +57,19 @@ def strongest_edges(edges: DataFrame, k: int = 25) -> DataFrame:
     return first_per_group(edges, ["year"], [F.desc("weight"), F.col("src"), F.col("dst")], k)
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges: (``node``, ``component``).
 
     Every node takes the smallest label among itself, its neighbours and its
-    label's own label, until nothing changes. Each round is checkpointed, so
-    the plan stays short and a lost executor costs one round at most.
+    label's own label, until nothing changes. Labels only fall, so it ends.
+    Each round is checkpointed, so the plan stays short and a lost executor
+    costs one round at most.
     """
     shared_folder(edges.sparkSession)
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     links = both.distinct().checkpoint()
     labels = links.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         near = (
             links.join(labels.withColumnRenamed("node", "dst"), "dst")
             .groupBy(F.col("src").alias("node"))
@@ -75,4 +85,3 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         labels = nxt.select("node", "component")
         if nxt.filter("_moved").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")

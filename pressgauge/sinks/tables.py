@@ -14,12 +14,11 @@ ROWS_PER_FILE = 500_000
 def write_articles(articles: DataFrame, path: str, mode: str = "append", rows_per_file: int = ROWS_PER_FILE) -> None:
     """Monthly Parquet folders, zstd, bounded files.
 
-    Rows are spread by month and id, so a large month is written by several
-    tasks and a small one by few.
+    Adaptive execution splits a large month among as many tasks as its size
+    asks for and leaves a small one to one task.
     """
-    spread = F.pmod(F.xxhash64("GKGRECORDID"), F.lit(8))
     (
-        articles.repartition("year", "month", spread)
+        articles.hint("rebalance", "year", "month")
         .write.mode(mode)
         .partitionBy("year", "month")
         .option("compression", "zstd")
