@@ -10,13 +10,13 @@ one edit (a character inserted, deleted or replaced) away. Others stay.
    half of the shorter line as it is. Lines none of whose halves (of their own
    length, or as seen from a line one longer or shorter) is found in another
    line have none, and leave.
-3. Deletion neighbourhood. Every remaining line emits the hash of itself and of
-   each variant with one character deleted, and with a variant the place of
-   the deletion, moved to the start of its run of equal characters. Two lines
-   one replacement apart have an equal variant with the same place; two lines
-   one insertion apart, a variant that is the other line.
-4. In each group of equal keys, the earliest line is joined to the others, one
-   pair for each, and the edit distance of the pair is verified.
+3. Deletion neighbourhood. Every remaining line emits the hash of itself, of
+   each variant with one character deleted, and of each variant with the place
+   of the deletion. Two lines one insertion apart: a variant of the longer is
+   the other line. Two lines one replacement apart: equal variants of the same
+   place, and so are all lines that have these; each is joined to the earliest.
+   Either way a line gets one pair for each of its keys at most.
+4. The edit distance of each pair is verified, and its later line goes.
 
 Hashes have 64 bits and are made from the characters by powers of an odd base.
 The bound is one edit: it needs as many variants as a line has characters.
@@ -52,7 +52,7 @@ def _prefix(points: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
 
 
-def _half_keys(line: str) -> np.ndarray:
+def _half_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the halves by which a line of this length or one more could share one with it.
 
     For two lines whose shorter one has ``m`` characters, one edit leaves the
@@ -66,47 +66,61 @@ def _half_keys(line: str) -> np.ndarray:
     for m in (n - 1, n):
         head, tail = m // 2, m - m // 2 - 1
         out += [(sums[head], 4 * m), (back[tail], 4 * m + 1)]
-    return np.concatenate([mixed(np.array([h], np.uint64), s + 100) for h, s in out]).view(_SIGNED)
+    keys = np.concatenate([mixed(np.array([h], np.uint64), s + 100) for h, s in out])
+    return keys.view(_SIGNED), np.zeros(len(keys), np.int32)
 
 
-def _variants(line: str) -> np.ndarray:
-    """Hashes of the line and of (variant, place) and variant of each deletion; the line's own comes first."""
+WHOLE, DELETED, PLACED = range(3)
+
+
+def _variants(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and their kinds: the line, each variant with a character deleted, and each variant with its place."""
     points = _points(line)
     n = len(points)
     sums = _prefix(points)
     scattered = mixed(points.astype(np.uint64), 5)
     # After the deletion, what follows moves one place down: one power less.
     shifted = np.concatenate([np.zeros(1, np.uint64), np.cumsum(scattered[1:] * powers(n)[: n - 1], dtype=np.uint64)])
-    new = np.concatenate([[True], points[1:] != points[:-1]])
-    place = np.flatnonzero(new)  # deleting inside a run of equal characters gives one variant
-    variant = sums[place] + shifted[-1] - shifted[place]
-    length = np.uint64(n - 1)
-    whole = mixed(sums[-1:], 3) ^ np.uint64(n)
-    return np.concatenate([
-        whole, mixed(variant, 3) ^ length, mixed(variant, 4) ^ mixed(place.astype(np.uint64), 6)
-    ]).view(_SIGNED)
+    variant = sums[:n] + shifted[-1] - shifted
+    first = np.concatenate([[True], points[1:] != points[:-1]])  # a run of equal characters has one variant
+    keys = [
+        mixed(sums[-1:], 3) ^ np.uint64(n),
+        mixed(variant[first], 3) ^ np.uint64(n - 1),
+        mixed(variant, 4) ^ mixed(np.arange(n, dtype=np.uint64), 6),
+    ]
+    kinds = np.repeat(np.array([WHOLE, DELETED, PLACED], np.int32), [len(k) for k in keys])
+    return np.concatenate(keys).view(_SIGNED), kinds
 
 
 def _keyed(make):
-    """(line_key, key) for each key of each line, in parts of bounded size."""
+    """(id, key, kind) for each key of each line, in parts of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, held = [], [], 0
+            ids, made, held = [], [], 0
+
+            def written() -> pa.RecordBatch:
+                return pa.RecordBatch.from_pydict({
+                    "id": np.concatenate(ids), "key": np.concatenate([m[0] for m in made]),
+                    "kind": np.concatenate([m[1] for m in made]),
+                })
+
             for i, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made = make(line)
-                ids.append(np.full(len(made), i, _SIGNED))
-                keys.append(made)
-                held += len(made)
+                made.append(make(line))
+                ids.append(np.full(len(made[-1][0]), i, _SIGNED))
+                held += len(ids[-1])
                 if held > 1 << 18:
-                    yield pa.RecordBatch.from_pydict({"id": np.concatenate(ids), "key": np.concatenate(keys)})
-                    ids, keys, held = [], [], 0
+                    yield written()
+                    ids, made, held = [], [], 0
             if ids:
-                yield pa.RecordBatch.from_pydict({"id": np.concatenate(ids), "key": np.concatenate(keys)})
+                yield written()
 
     return run
 
 
+KEYS = "id long, key long, kind int"
+
+
 def repeated_lines(documents: DataFrame, shortest: int = 20) -> DataFrame:
     """(doc_id, text_key, removed): the numbers of each document's removed lines, for documents that have some."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
@@ -129,21 +143,29 @@ def repeated_lines(documents: DataFrame, shortest: int = 20) -> DataFrame:
     )
     texts = stage(found.select("f.id", "l.line").dropDuplicates(["id"]), "lines-texts")
 
-    halves = texts.mapInArrow(_keyed(_half_keys), "id long, key long")
+    halves = texts.mapInArrow(_keyed(_half_keys), KEYS)
     common = halves.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a != b").select("key")
     may = halves.join(common, "key").select("id").distinct()
     some = stage(texts.join(may, "id"), "lines-candidates")
 
     order = distinct.select("id", "at")
-    keys = stage(
-        some.mapInArrow(_keyed(_variants), "id long, key long").join(order, "id").select("id", "key", "at"), "lines-variants"
-    )
-    lead = keys.groupBy("key").agg(F.min(F.struct("at", "id")).alias("lead"), F.max(F.struct("at", "id")).alias("last"))
-    lead = lead.filter("lead.id != last.id").select("key", F.col("lead.id").alias("lead"))
-    pairs = keys.join(lead, "key").filter("id != lead").select("id", "lead").distinct()
-    one, two = some.toDF("id", "line"), some.toDF("lead", "other")
-    near = pairs.join(one, "id").join(two, "lead").filter(F.levenshtein("line", "other", 1).between(0, 1))
-    near = stage(near.select("id").distinct(), "lines-near")
+    keys = stage(some.mapInArrow(_keyed(_variants), KEYS), "lines-variants")
+
+    def of(kind: int) -> DataFrame:
+        return keys.filter(F.col("kind") == kind)
+
+    inserted = of(WHOLE).select("key", F.col("id").alias("a")).join(of(DELETED).select("key", F.col("id").alias("b")), "key")
+    placed = of(PLACED).join(order, "id").select("key", "id", "at")
+    lead = placed.groupBy("key").agg(F.min(F.struct("at", "id")).alias("x"), F.max(F.struct("at", "id")).alias("y"))
+    lead = lead.filter("x.id != y.id").select("key", F.col("x.id").alias("a"))
+    replaced = placed.join(lead, "key").filter("id != a").select("a", F.col("id").alias("b"))
+    pairs = inserted.select("a", "b").unionByName(replaced).distinct()
+    known = some.join(order, "id").select("id", "at", "line")
+    known = stage(known, "lines-known")
+    whole = pairs.join(known.toDF("a", "at_a", "line_a"), "a").join(known.toDF("b", "at_b", "line_b"), "b")
+    near = whole.filter(F.levenshtein("line_a", "line_b", 1).between(0, 1))
+    near = near.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+    near = stage(near, "lines-near")
 
     # What a line's occurrences have to know: all go, or all but the first.
     rules = distinct.join(near.withColumn("gone", F.lit(True)), "id", "left").filter("gone or k > 1")
