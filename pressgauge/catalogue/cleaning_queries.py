@@ -254,7 +254,8 @@ ACTIVITY = "SELECT Src_ID, count(*) AS articles, count(DISTINCT substr(DATE, 1,
     ),
 )
 def bucket_labels(t):
-    rows = t.base.join(cleaning.source_activity(t.base), "Src_ID")
+    activity = stage_lookup(cleaning.source_activity(t.base), "activity")
+    rows = lookup_join(t.base, activity, ["Src_ID"], spread_by=ID)
     return rows.select(
         ID,
         labels.word_label(F.col("WordCount")).alias("word_bucket"),

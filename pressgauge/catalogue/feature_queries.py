@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pressgauge.catalogue.registry import register, rounded
@@ -12,6 +11,7 @@ from pressgauge.catalogue.sql import DAY, add, query
 from pressgauge.catalogue.sql import r6 as sql6
 from pressgauge.functions import columns as c
 from pressgauge.operators import cleaning, clusters, features, profiling, registry, topk
+from pressgauge.operators.ingest import grown_dictionary
 from pressgauge.operators.lookups import stage_lookup
 from pressgauge.plans import runs
 
@@ -363,10 +363,8 @@ def page_domains(t):
     hosts = t.read("pages").select(c.host_of(F.col("url")).alias("host")).distinct()
     labels = F.split("host", r"\.")
     names = hosts.select(F.array_join(F.slice(labels, -F.least(F.size(labels), F.lit(3)), 3), ".").alias("SourceCommonName"))
-    known = names.distinct().withColumn(
-        "SourceCommonName_ID", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("SourceCommonName"))
-    )
-    return registry.match_hosts(hosts, stage_lookup(known, "page-names"), t.suffixes)
+    none = t.spark.createDataFrame([], "SourceCommonName_ID int, SourceCommonName string")
+    return registry.match_hosts(hosts, grown_dictionary(none, names), t.suffixes)
 
 
 @register("ag46_matched_domains", query("SELECT * FROM matched_domains", "matched_domains"))

@@ -17,7 +17,7 @@ from pressgauge.catalogue.sql import r6 as sql6
 from pressgauge.functions import columns as c
 from pressgauge.operators import cleaning, clusters, ingest, registry
 from pressgauge.operators import indicators as ind
-from pressgauge.operators.lookups import measure
+from pressgauge.operators.lookups import lookup_join, measure
 from pressgauge.plans import runs
 from pressgauge.plans.loader import ArticleLoader
 from pressgauge.session import fresh_path, stage
@@ -394,14 +394,16 @@ def run(t, stream, mode="append"):
 @register(
     "st01_stream_ingest",
     query(
-        f"SELECT {ID}, {TONE} AS Tone, {WORDS} AS WordCount, IsTranslingual, coalesce(m.SourceCommonName_ID, 0) AS SourceCommonName_ID "
-        f"FROM (SELECT * EXCLUDE (SourceCommonName_ID), {RAW_NAME} AS name FROM raw_rows) LEFT JOIN src_map m ON name = m.SourceCommonName",
-        "raw_rows", "src_map",
+        f"SELECT {ID}, {TONE} AS Tone, {WORDS} AS WordCount, IsTranslingual, {RAW_NAME} AS SourceCommonName FROM raw_rows", "raw_rows"
     ),
 )
 def stream_ingest(t):
-    stream = jobs.ingest_stream(jobs.raw_stream(t.spark, raw_folder(t)), t.dictionary)
-    return run(t, stream.select(ID, "Tone", "WordCount", "IsTranslingual", "SourceCommonName_ID"))
+    # Only some names are known at first; the others are numbered as they arrive, and decode to themselves.
+    articles, names = jobs.ingest_available(
+        jobs.raw_stream(t.spark, raw_folder(t)), known_names(t), fresh_path(t.spark, "stream"), fresh_path(t.spark, "checkpoint")
+    )
+    decoded = lookup_join(articles, measure(names), ["SourceCommonName_ID"], "left", spread_by=ID)
+    return decoded.select(ID, "Tone", "WordCount", "IsTranslingual", F.coalesce("SourceCommonName", F.lit("")).alias("SourceCommonName"))
 
 
 def events(t):

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.functions import columns as c
 from pressgauge.operators.lookups import Lookup, lookup_join, stage_lookup
-from pressgauge.settings import CleaningRules
+from pressgauge.settings import BROADCAST_ROWS, CleaningRules
 
 DEFAULT_RULES = CleaningRules()
 
@@ -33,9 +33,18 @@ def with_source(articles: DataFrame, dictionary: Lookup, keep_unknown: bool = Fa
     """Repair missing source ids through the article's host.
 
     ``dictionary`` has (``SourceCommonName_ID``, ``SourceCommonName``). Only
-    rows without an id carry a join key.
+    rows without an id carry a join key; beside a dictionary too large to
+    broadcast, the others do not move at all.
     """
     known = F.nullif(F.col("SourceCommonName_ID"), F.lit(0))
+    if dictionary.rows > BROADCAST_ROWS:
+        named = articles.filter(known.isNotNull()).withColumn("Src_ID", known).drop("SourceCommonName_ID")
+        nameless = articles.filter(known.isNull())
+        return named.unionByName(_repaired(nameless, dictionary, known, keep_unknown))
+    return _repaired(articles, dictionary, known, keep_unknown)
+
+
+def _repaired(articles: DataFrame, dictionary: Lookup, known: Column, keep_unknown: bool) -> DataFrame:
     keyed = articles.withColumn("_host", F.when(known.isNull(), c.host_of(F.col("DocumentIdentifier"))))
     names = Lookup(
         dictionary.frame.select(

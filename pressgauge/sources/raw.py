@@ -49,7 +49,11 @@ def zip_lines(spark: SparkSession, path: str) -> DataFrame:
     Archives are distributed over the tasks; each is streamed line by line in
     batches, never unpacked as a whole.
     """
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    return unpacked(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path))
+
+
+def unpacked(archives: DataFrame) -> DataFrame:
+    """Lines of archives given as ``path`` and ``content``, batch or streaming."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -65,7 +69,7 @@ def zip_lines(spark: SparkSession, path: str) -> DataFrame:
                     if chunk:
                         yield _frame(name, start, chunk)
 
-    flat = archives.mapInPandas(unpack, "file string, row long, value string")
+    flat = archives.select("path", "content").mapInPandas(unpack, "file string, row long, value string")
     return flat.select(
         "file", F.struct(F.lit(0).cast("long").alias("block"), F.col("row")).alias("line_no"), "value"
     )

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressgauge.functions.columns import safe_ratio
-from pressgauge.operators.ingest import encoded, typed_records, with_month
+from pressgauge.operators.ingest import encoded, grown_dictionary, typed_records, with_month
 from pressgauge.operators.lookups import Lookup, lookup_join
-from pressgauge.sources.raw import raw_records
+from pressgauge.sinks.tables import stored
+from pressgauge.sources.raw import raw_records, unpacked
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -43,9 +44,56 @@ def raw_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> D
     return typed_records(raw_records(lines))
 
 
-def ingest_stream(records: DataFrame, dictionary: Lookup) -> DataFrame:
-    """Typed records to articles; names outside the dictionary get id 0."""
-    return with_month(encoded(records, dictionary)).drop("file")
+def zip_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """New zip archives as typed records; each is read line by line."""
+    archives = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .option("pathGlobFilter", "*.zip")
+        .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(path)
+    )
+    return typed_records(raw_records(unpacked(archives).drop("line_no")))
+
+
+def dictionary_versions(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """All names of a grown dictionary, or those known before a batch."""
+    found = stored(spark, path)
+    if found is None:
+        return spark.createDataFrame([], "SourceCommonName_ID int, SourceCommonName string")
+    kept = found if before is None else found.filter(F.col("batch") < before)
+    return kept.select("SourceCommonName_ID", "SourceCommonName")
+
+
+def ingest_available(
+    records: DataFrame, dictionary: DataFrame, folder: str, checkpoint: str
+) -> tuple[DataFrame, DataFrame]:
+    """Ingest what has arrived, growing the dictionary: (articles, dictionary).
+
+    Each micro-batch first stores its new names under its own number, then its
+    articles with their ids. A batch that is repeated after a failure sees the
+    names known before it and replaces both, so no name and no row is lost or
+    doubled. ``dictionary`` holds the names known before the first batch.
+    """
+    names, articles = f"{folder}/dictionary", f"{folder}/articles"
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = dictionary.select("SourceCommonName_ID", "SourceCommonName").unionByName(
+            dictionary_versions(spark, names, number)
+        )
+        grown = grown_dictionary(known, batch)
+        new = grown.frame.join(known.select("SourceCommonName_ID"), "SourceCommonName_ID", "left_anti")
+        new.write.mode("overwrite").parquet(f"{names}/batch={number}")
+        done = with_month(encoded(batch, grown)).drop("file")
+        done.write.mode("overwrite").parquet(f"{articles}/batch={number}")
+
+    query = records.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(one).start()
+    query.awaitTermination()
+    spark = records.sparkSession
+    known = dictionary.select("SourceCommonName_ID", "SourceCommonName").unionByName(dictionary_versions(spark, names))
+    return spark.read.parquet(articles).drop("batch"), known
 
 
 def event_stream(spark: SparkSession, folder: str, schema, pattern: str, files_per_batch: int = 1000) -> DataFrame:

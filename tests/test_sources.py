@@ -141,3 +141,62 @@ def test_stream_resumes_and_drops_late_rows(spark, tmp_path):
     got = {str(r["period"]): r["n_articles"] for r in run().collect()}
     assert got == {"2024-01-01": 2, "2024-01-04": 1}
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
+
+
+def test_stream_grows_its_dictionary(spark, tmp_path):
+    from pressgauge.streaming import jobs
+
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "1.csv").write_text("\n".join([record(1), record(2, name="new.org"), record(3, name="")]))
+    known = spark.createDataFrame([(7, "a.com")], "SourceCommonName_ID int, SourceCommonName string")
+    run = lambda: jobs.ingest_available(
+        jobs.raw_stream(spark, str(tmp_path / "raw")), known, str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    )
+    articles, names = run()
+    assert {(r["GKGRECORDID"], r["SourceCommonName_ID"]) for r in articles.collect()} == {("r1", 7), ("r2", 8), ("r3", 0)}
+    (tmp_path / "raw" / "2.csv").write_text("\n".join([record(4, name="new.org"), record(5, name="other.net")]))
+    articles, names = run()
+    assert {(r["GKGRECORDID"], r["SourceCommonName_ID"]) for r in articles.collect()} >= {("r4", 8), ("r5", 9)}
+    assert {tuple(r) for r in names.collect()} == {(7, "a.com"), (8, "new.org"), (9, "other.net")} and articles.count() == 5
+
+
+def test_zip_stream(spark, tmp_path):
+    import zipfile
+
+    from pressgauge.streaming import jobs
+
+    (tmp_path / "raw").mkdir()
+    with zipfile.ZipFile(tmp_path / "raw" / "1.csv.zip", "w") as archive:
+        archive.writestr("1.csv", "\n".join([record(1), record(2)]))
+    none = spark.createDataFrame([], "SourceCommonName_ID int, SourceCommonName string")
+    articles, names = jobs.ingest_available(
+        jobs.zip_stream(spark, str(tmp_path / "raw")), none, str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    )
+    assert articles.count() == 2 and names.count() == 1
+
+
+def test_ingest_run_takes_a_month_once(spark, tmp_path):
+    from pressgauge.plans.ingest import ingest_run
+
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "1.csv").write_text("\n".join([record(1), record(1), record(2, name="b.org")]))
+    places = [str(tmp_path / p) for p in ("raw", "articles", "dictionary")]
+    assert ingest_run(spark, *places).count() == 2
+    assert ingest_run(spark, *places).count() == 0
+    stored = spark.read.parquet(places[1])
+    assert stored.count() == 2 and {(r["year"], r["month"]) for r in stored.collect()} == {(2020, 1)}
+
+
+def test_large_dictionary_moves_only_nameless_articles(spark, monkeypatch):
+    from pressgauge.operators import cleaning
+    from pressgauge.operators.lookups import Lookup
+
+    articles = spark.createDataFrame(
+        [("r1", 3, "http://a.com/1"), ("r2", 0, "http://a.com/2"), ("r3", None, "http://none.com/3")],
+        "GKGRECORDID string, SourceCommonName_ID int, DocumentIdentifier string",
+    )
+    names = spark.createDataFrame([(9, "a.com")], "SourceCommonName_ID int, SourceCommonName string")
+    small = {tuple(r) for r in cleaning.with_source(articles, Lookup(names, 1), True).collect()}
+    large = {tuple(r) for r in cleaning.with_source(articles, Lookup(names, 10**9), True).select(
+        "GKGRECORDID", "DocumentIdentifier", "Src_ID").collect()}
+    assert small == large and ("r2", "http://a.com/2", 9) in large
