@@ -245,8 +245,8 @@ def taxonomy(t):
     query("SELECT region_key, country_code, count(*) AS suppliers FROM regions JOIN supplier ON country_code = 'N' || s_nationkey GROUP BY 1, 2", "regions"),
 )
 def region_map(t):
-    rows = t.regions.frame.groupBy("region_key").agg(F.array_join(F.collect_list("country_code"), " ").alias("codes")).collect()
-    regions = lookup_source.region_map(t.spark, {r["region_key"]: r["codes"] for r in rows})
+    rows = t.regions.frame.groupBy("region_key").agg(F.collect_list("country_code").alias("codes")).collect()
+    regions = lookup_source.region_map(t.spark, {r["region_key"]: tuple(r["codes"]) for r in rows})
     suppliers = t.read("supplier").select(F.concat(F.lit("N"), "s_nationkey").alias("country_code"))
     return suppliers.join(F.broadcast(regions.frame), "country_code").groupBy("region_key", "country_code").agg(
         F.count(F.lit(1)).alias("suppliers")

@@ -83,9 +83,6 @@ def significance_text(coefficient: Column, p_value: Column) -> Column:
     return F.when(coefficient == 0, "0.00").otherwise(F.concat(F.format_string("%+.2f", coefficient), stars))
 
 
-def lag_label(lag: Column) -> Column:
-    return (
-        F.when(lag == 0, "T(0)")
-        .when(lag > 0, F.concat(F.lit("T+"), lag.cast("string")))
-        .otherwise(F.concat(F.lit("T"), lag.cast("string")))
-    )
+def lag_name(lag: int) -> str:
+    """Column name of a lag: ``T-1``, ``T(0)``, ``T+1``."""
+    return f"T{lag:+d}" if lag else "T(0)"

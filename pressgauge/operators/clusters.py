@@ -167,6 +167,7 @@ def profile(labelled: DataFrame, names: list[str], cluster: str = "cluster") ->
     )
 
 
+# The thresholds of the retention rule.
 @dataclass(frozen=True)
 class RetentionRules:
     min_years_active: float = 10.0

@@ -48,16 +48,16 @@ def dashboard(articles: DataFrame, source: str = "Src_ID", date: str = "DATE") -
     volume_rows = volume.select(
         F.inline(
             F.array(
-                _entry("1. Volumétrie", "Nombre total d'articles", F.col("rows").cast("string")),
-                _entry("1. Volumétrie", "Nombre de sources uniques", F.col("sources").cast("string")),
+                _entry("volume", "articles", F.col("rows").cast("string")),
+                _entry("volume", "sources", F.col("sources").cast("string")),
                 _entry(
-                    "1. Volumétrie",
-                    "Nombre moyen d'articles par source",
+                    "volume",
+                    "mean articles of a source",
                     F.format_string("%.1f", F.round(c.safe_ratio(F.col("rows"), F.col("sources")) + 1e-9, 1)),
                 ),
                 _entry(
-                    "2. Dynamique Temporelle",
-                    "Nombre moyen d'articles par an et par source",
+                    "years",
+                    "mean articles of a source and year",
                     F.format_string("%.1f", F.round(F.col("per_pair") + 1e-9, 1)),
                 ),
             )
@@ -71,8 +71,8 @@ def dashboard(articles: DataFrame, source: str = "Src_ID", date: str = "DATE") -
             F.inline(
                 F.array(
                     _entry(
-                        "2. Dynamique Temporelle",
-                        "Nombre moyen de sources actives par an",
+                        "years",
+                        "mean sources of a year",
                         F.format_string("%.1f", F.round(F.col("a") + 1e-9, 1)),
                     )
                 )
@@ -89,15 +89,15 @@ def dashboard(articles: DataFrame, source: str = "Src_ID", date: str = "DATE") -
             F.array_join(
                 F.transform(
                     F.array_sort(F.collect_list(F.struct("years", "n_src"))),
-                    lambda x: F.concat(x["years"], F.lit(" an(s): "), x["n_src"], F.lit(" sources")),
+                    lambda x: F.concat(x["years"], F.lit(": "), x["n_src"]),
                 ),
-                "  |  ",
+                "; ",
             ).alias("text")
         )
         .select(
             F.inline(
                 F.array(
-                    _entry("3. Pérennité", "Répartition des sources selon le nb d'années d'activité", F.col("text"))
+                    _entry("longevity", "sources by active years", F.col("text"))
                 )
             )
         )

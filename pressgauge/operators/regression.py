@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressgauge.functions.columns import all_present, safe_ratio
-from pressgauge.functions.labels import significance_text
+from pressgauge.functions.labels import lag_name, significance_text
 from pressgauge.operators.topk import first_per_group
 
+# Fixed value: the row label of the autoregressive control.
 INERTIA = "_PAST_MACRO_INERTIA_"
 HOLD_OUT = -1
 FOLDS = 5
@@ -362,7 +363,7 @@ def coefficient_table(fits: DataFrame, keys: list[str], lags: list[int]) -> Data
     """Feature rows, one text column per lag, ``0.00`` where nothing fitted."""
     text = fits.select(*keys, "model", "feature", "lag", significance_text(F.col("coef"), F.col("p_value")).alias("t"))
     pivoted = text.groupBy(*keys, "model", "feature").pivot("lag", lags).agg(F.first("t"))
-    names = [f"T+{x}" if x > 0 else f"T{x}" if x else "T(0)" for x in lags]
+    names = [lag_name(x) for x in lags]
     return pivoted.select(
         *keys,
         "model",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressgauge.functions.columns import all_present, no_nan, safe_ratio
+from pressgauge.functions.labels import lag_name
 
 ONE_YEAR_OF_TRADING = 252
 
@@ -146,7 +147,7 @@ def lag_correlations(
 
 def lag_matrix(correlations: DataFrame, keys: list[str], lags: range) -> DataFrame:
     """One row per series, one column per lag (``T-1``, ``T(0)``, ``T+1``)."""
-    names = [f"T+{x}" if x > 0 else f"T{x}" if x else "T(0)" for x in lags]
+    names = [lag_name(x) for x in lags]
     pivoted = correlations.groupBy(*keys).pivot("lag", list(lags)).agg(F.first("corr"))
     return pivoted.select(*keys, *[F.col(f"`{x}`").alias(n) for x, n in zip(lags, names)])
 
