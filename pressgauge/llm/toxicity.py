@@ -29,6 +29,7 @@ from pressgauge.llm.common import query, stage, table
 from pressgauge.llm.linear import (
     CALIBRATION,
     HELD_OUT,
+    TASKS,
     calibrated,
     char_grams,
     code_points,
@@ -85,7 +86,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ratios(sample: DataFrame, smooth: float, least: float, rare: int) -> tuple[np.ndarray, list[int]]:
     total, rows = np.zeros((2, WIDTH)), [0, 0]
-    for part in sample.mapInArrow(_counted, "label double, rows long, counts binary").toLocalIterator():
+    for part in sample.coalesce(TASKS).mapInArrow(_counted, "label double, rows long, counts binary").toLocalIterator():
         total[int(part["label"])] += np.frombuffer(bytes(part["counts"]), np.int32)
         rows[int(part["label"])] += part["rows"]
     shares = (total + smooth) / (total + smooth).sum(1, keepdims=True)
@@ -95,15 +96,18 @@ def _ratios(sample: DataFrame, smooth: float, least: float, rare: int) -> tuple[
 
 
 def _scaled(ratio):
+    """Features by their number among the cells that are left, with their ratio as value."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = ratio.value
+        number = (np.cumsum(r != 0) - 1).astype(np.int32)
         for batch in batches:
             if batch.num_rows:
                 made = list(_cells(batch.column(0), r != 0))
                 ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.int64), *made])
                 yield pa.RecordBatch.from_pydict({
-                    "label": batch.column(1), "index": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))),
+                    "label": batch.column(1), "index": pa.ListArray.from_arrays(pa.array(ends), pa.array(number[flat])),
                     "value": pa.ListArray.from_arrays(pa.array(ends), pa.array(r[flat])), "fold": batch.column(2),
                 })
 
@@ -115,9 +119,9 @@ def train(
     labels: DataFrame,
     limit: int = 12_000,
     smooth: float = 1.0,
-    least: float = 0.7,
-    rare: int = 5,
-    l2: float = 1e-3,
+    least: float = 1.5,
+    rare: int = 8,
+    l2: float = 1e-2,
 ) -> Model:
     sample = labelled_sample(documents, labels, "toxic", limit).select("text", "label", "fold")
     context = documents.sparkSession.sparkContext
@@ -130,9 +134,12 @@ def train(
         sample.mapInArrow(_scaled(sent), "label double, index array<int>, value array<float>, fold int"),
         "toxicity-features",
     )
-    weights = fitted(made.filter(F.col("fold") != CALIBRATION).drop("fold"), WIDTH, l2)
+    left = np.flatnonzero(ratio)
+    weights = fitted(made.filter(F.col("fold") != CALIBRATION).drop("fold"), len(left), l2)
     scale = calibrated(made.filter(F.col("fold") == CALIBRATION).drop("fold"), weights)
-    return Model((weights[:-1] * ratio).astype(np.float32), float(weights[-1]), scale)
+    whole = np.zeros(WIDTH, np.float32)
+    whole[left] = weights[:-1] * ratio[left]
+    return Model(whole, float(weights[-1]), scale)
 
 
 def scored(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
