@@ -38,16 +38,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.llm import links
-from pressgauge.llm.common import query, stage, table
+from pressgauge.llm.common import id_bits, maybe_in, query, stage, table
 from pressgauge.llm.vectors import mixed, shingle_sets
 
 WIDTH, BLOCK = 1 << 20, 1 << 14
-IDS = 16_777_213  # cells of the filter on candidate ids, a prime
-BITS = 1024
+BITS = 2048
 
 _SIGNED = np.int64
 
@@ -139,20 +140,18 @@ def _prefixes(n: int, percent: int, classes):
 
 
 def _candidate_texts(n: int, wanted):
-    """Texts whose id may be a candidate, with their set's identity."""
+    """Texts, compressed, whose id may be a candidate, with their set's identity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted.value, np.uint8)
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            ids = batch.column(0)
-            cell = np.mod(ids.fill_null(0).to_numpy(zero_copy_only=False), IDS)
-            may = ((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(bool)
-            may |= ids.is_null().to_numpy(zero_copy_only=False)
-            some = batch.filter(pa.array(may))
+            may = maybe_in(batch.column(0), wanted.value)
+            some = batch.filter(pc.and_(pa.array(may), batch.column(1).is_valid()))
             keys = [_identity(t) for t in shingle_sets(some.column(1), n)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": some.column(0), "k1": pa.array([x[0] for x in keys], pa.int64()),
-                "k2": pa.array([x[1] for x in keys], pa.int64()), "text": some.column(1),
+                "k2": pa.array([x[1] for x in keys], pa.int64()),
+                "text": pa.array([pack(t.encode()) for t in some.column(1).to_pylist()], pa.binary()),
             })
 
     return run
@@ -163,16 +162,21 @@ def _verified(n: int, percent: int, orders: int, classes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (None, None)
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def sets(packed: pa.Array) -> Iterator[np.ndarray]:
+            return shingle_sets(pa.array([unpack(x).decode() for x in packed.to_pylist()], pa.string()), n)
+
         for batch in batches:
             kept = []
             step = 64  # pairs at a time, so that long texts do not pile up
             for begin in range(0, batch.num_rows, step):
                 part = batch.slice(begin, step)
-                nodes, right = part.column(0).to_pylist(), shingle_sets(part.column(3), n)
+                nodes, right = part.column(0).to_pylist(), sets(part.column(3))
                 lefts = part.column(2)
                 for i, y in enumerate(right):
                     if nodes[i] != last[0]:
-                        tokens = next(shingle_sets(lefts.slice(i, 1), n))
+                        tokens = next(sets(lefts.slice(i, 1)))
                         last = (nodes[i], [tokens, *(_first(tokens, classes.value, k, percent) for k in range(1, orders))])
                     x = last[1][0]
                     if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
@@ -236,18 +240,6 @@ def _across(percent: int):
     return run
 
 
-def _bits(ids: DataFrame, spark) -> bytes:
-    """A filter of ``IDS`` cells, whatever the number of ids."""
-    cell = F.pmod(F.col("doc_id"), F.lit(IDS))
-    cells = ids.filter("doc_id is not null").groupBy(F.expr(f"pmod(doc_id, {IDS}) div 32").alias("w")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(doc_id, {IDS}) % 32 as int))")).alias("b")
-    )
-    got = cells.toArrow()
-    out = np.zeros(IDS // 32 + 1, np.uint32)
-    out[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.uint32)
-    return out.tobytes()
-
-
 def linked(documents: DataFrame, n: int = 5, percent: int = 80, orders: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``documents``."""
     spark = documents.sparkSession
@@ -290,15 +282,16 @@ def linked(documents: DataFrame, n: int = 5, percent: int = 80, orders: int = 3)
         pairs = stage(known.filter(alike).select("a", "b"), "jaccard-pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = stage(ids.join(sets, "node").select("node", "k1", "k2", F.col("first_id").alias("doc_id")), "jaccard-ids")
-        bits = spark.sparkContext.broadcast(_bits(wanted, spark))
-        some = texts.mapInArrow(_candidate_texts(n, bits), "doc_id long, k1 long, k2 long, text string")
+        bits = spark.sparkContext.broadcast(id_bits(wanted))
+        some = texts.mapInArrow(_candidate_texts(n, bits), "doc_id long, k1 long, k2 long, text binary")
+        some = some.dropDuplicates(["k1", "k2", "doc_id"])
         found = some.alias("t").join(
             wanted.alias("w"),
             (F.col("t.k1") == F.col("w.k1"))
             & (F.col("t.k2") == F.col("w.k2"))
             & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")),
         )
-        found = stage(found.select("w.node", "t.text").dropDuplicates(["node"]), "jaccard-texts")
+        found = stage(found.select("w.node", "t.text"), "jaccard-texts")
         with_b = pairs.join(found.toDF("b", "text_b"), "b")
         whole = with_b.join(found.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
         return stage(whole.mapInArrow(_verified(n, percent, orders, classes), "a long, b long"), "jaccard-links")
