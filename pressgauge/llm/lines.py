@@ -7,9 +7,8 @@ one edit (a character inserted, deleted or replaced) away. Others stay.
 1. Equal lines are one line, which stands where it first occurs. Its later
    occurrences go.
 2. Which lines can have a partner? One edit leaves the first half or the last
-   half of the shorter line as it is. Lines none of whose halves (of their own
-   length, or as seen from a line one longer or shorter) is found in another
-   line have none, and leave.
+   half of the shorter line as it is. Lines none of whose halves (as the shorter
+   or the longer one) is found in another line have none, and leave.
 3. Deletion neighbourhood. Every remaining line emits the hash of itself, of
    each variant with one character deleted, and of each variant with the place
    of the deletion. Two lines one insertion apart: a variant of the longer is
@@ -18,7 +17,8 @@ one edit (a character inserted, deleted or replaced) away. Others stay.
    Either way a line gets one pair for each of its keys at most.
 4. The edit distance of each pair is verified, and its later line goes.
 
-Hashes have 64 bits and are made from the characters by powers of an odd base.
+Keys have 64 bits, a line's identity 128; they are made from the characters by
+powers of an odd base.
 The bound is one edit: it needs as many variants as a line has characters.
 
 Defined results: null texts have no lines; lines of null ids come last; repeated
@@ -35,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressgauge.llm.common import query, stage, table
-from pressgauge.llm.vectors import mixed, powers
+from pressgauge.llm.common import id_bits, maybe_in, query, stage, table
+from pressgauge.llm.linear import code_points
+from pressgauge.llm.vectors import mixed, powers, runs
 
 SALTS = 16
 _SIGNED = np.int64
@@ -52,22 +53,73 @@ def _prefix(points: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
 
 
-def _half_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the halves by which a line of this length or one more could share one with it.
+_INVERSE = np.uint64(pow(int(powers(2)[1]), -1, 1 << 64))
 
-    For two lines whose shorter one has ``m`` characters, one edit leaves the
-    first ``m // 2`` or the last ``m - m // 2 - 1`` characters alone.
+
+def _line_keys(texts: pa.Array, shortest: int) -> Iterator[tuple]:
+    """(text, line number, two hashes, four half keys) of the lines of at least ``shortest`` code points.
+
+    Half keys: for two lines of which the shorter has ``m`` characters, one
+    edit leaves the first ``m // 2`` or the last ``m - m // 2 - 1`` characters
+    alone. A line is the shorter one (m = its length) or the longer (one less).
     """
-    points = _points(line)
-    n = len(points)
-    sums = _prefix(points)
-    back = _prefix(points[::-1])
-    out = []
-    for m in (n - 1, n):
-        head, tail = m // 2, m - m // 2 - 1
-        out += [(sums[head], 4 * m), (back[tail], 4 * m + 1)]
-    keys = np.concatenate([mixed(np.array([h], np.uint64), s + 100) for h, s in out])
-    return keys.view(_SIGNED), np.zeros(len(keys), np.int32)
+    for row, _, data, offsets in runs(texts):
+        points, begins = code_points(data, offsets, lower=False)
+        value = mixed(points.astype(np.uint64), 5)
+        up = powers(len(points) + 1)
+        down = np.concatenate([np.ones(1, np.uint64), np.full(len(points), _INVERSE)]).cumprod(dtype=np.uint64)
+        ahead = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * up[:-1], dtype=np.uint64)])
+        back = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value * down[:-1], dtype=np.uint64)])
+
+        def head(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return (ahead[j] - ahead[i]) * down[i]
+
+        def tail(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return (back[j] - back[i]) * up[j]
+
+        breaks = np.flatnonzero(points == 10)
+        text_of_break = np.searchsorted(begins, breaks, "right") - 1
+        starts = np.concatenate([begins[:-1], breaks + 1])
+        ends = np.concatenate([breaks, begins[1:]])
+        text = np.sort(np.concatenate([np.arange(len(begins) - 1), text_of_break]))
+        starts, ends = np.sort(starts, kind="stable"), np.sort(ends, kind="stable")
+        number = np.arange(len(text)) - np.searchsorted(text, text)
+        long = ends - starts >= shortest
+        text, number, i, j = text[long], number[long], starts[long], ends[long]
+        n = (j - i).astype(np.uint64)
+        keys = []
+        for m in (n - np.uint64(1), n):
+            half = (m // np.uint64(2)).astype(np.int64)
+            keys.append(mixed(head(i, i + half) ^ (m << np.uint64(40)), 101))
+            keys.append(mixed(tail(j - (m.astype(np.int64) - half - 1), j) ^ (m << np.uint64(40)), 102))
+        yield text + row, number, mixed(head(i, j) ^ n, 1), mixed(tail(i, j) ^ n, 2), *keys
+
+
+LINES = "doc_id long, text_key long, line_no int, h1 long, h2 long, a0 long, a1 long, b0 long, b1 long"
+
+
+def _read_lines(shortest: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, number, *keys in _line_keys(batch.column(2), shortest):
+                at = pa.array(text)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)),
+                     *(pa.array(k.view(_SIGNED)) for k in keys)],
+                    names=["doc_id", "text_key", "line_no", "h1", "h2", "a0", "a1", "b0", "b1"],
+                )
+
+    return run
+
+
+def _texts_with(wanted):
+    """Texts whose id may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_in(batch.column(0), wanted.value)))
+
+    return run
 
 
 WHOLE, DELETED, PLACED = range(3)
@@ -123,30 +175,29 @@ KEYS = "id long, key long, kind int"
 
 def repeated_lines(documents: DataFrame, shortest: int = 20) -> DataFrame:
     """(doc_id, text_key, removed): the numbers of each document's removed lines, for documents that have some."""
+    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    lines = docs.select("doc_id", "text_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.filter(F.length("line") >= shortest)
-    # Two independent hashes name a line.
-    hashed = lines.select(
-        F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "line_no").alias("at"),
-        F.xxhash64("line").alias("h1"), F.crc32(F.col("line").cast("binary")).alias("h2"), "line",
+    docs = docs.filter(F.col("text").isNotNull())
+    found = stage(docs.mapInArrow(_read_lines(max(shortest, 2)), LINES), "lines-found")
+    at = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key", "line_no")
+    hashed = found.select(at.alias("at"), "h1", "h2")
+    distinct = found.select(at.alias("at"), "h1", "h2", "a0", "a1", "b0", "b1").groupBy("h1", "h2").agg(
+        F.min("at").alias("at"), F.count(F.lit(1)).alias("k"), *[F.max(c).alias(c) for c in ("a0", "a1", "b0", "b1")]
     )
-    distinct = hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("k"))
     distinct = stage(distinct.withColumn("id", F.monotonically_increasing_id()), "lines-distinct")
 
-    firsts = distinct.select("id", "at.*")
-    found = lines.alias("l").join(
-        firsts.alias("f"),
-        F.col("l.doc_id").eqNullSafe(F.col("f.doc_id"))
-        & (F.col("l.text_key") == F.col("f.text_key"))
-        & (F.col("l.line_no") == F.col("f.line_no")),
-    )
-    texts = stage(found.select("f.id", "l.line").dropDuplicates(["id"]), "lines-texts")
-
-    halves = texts.mapInArrow(_keyed(_half_keys), KEYS)
+    halves = distinct.select("id", F.explode(F.array("a0", "a1", "b0", "b1")).alias("key"))
     common = halves.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a != b").select("key")
     may = halves.join(common, "key").select("id").distinct()
-    some = stage(texts.join(may, "id"), "lines-candidates")
+    may = stage(distinct.join(may, "id").select("id", "at.*"), "lines-may")
+    # Only texts with such a line are moved, told by a filter of fixed size.
+    wanted = spark.sparkContext.broadcast(id_bits(may))
+    texts = docs.mapInArrow(_texts_with(wanted), docs.schema)
+    same = F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t.text_key") == F.col("f.text_key"))
+    numbers = may.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))
+    some = texts.alias("t").join(numbers.alias("f"), same).select(F.split("t.text", "\n").alias("l"), F.explode("f.wanted").alias("x"))
+    some = some.select("x.id", F.get("l", F.col("x.line_no")).alias("line")).dropDuplicates(["id"])
+    some = stage(some, "lines-candidates")
 
     order = distinct.select("id", "at")
     keys = stage(some.mapInArrow(_keyed(_variants), KEYS), "lines-variants")
@@ -172,32 +223,30 @@ def repeated_lines(documents: DataFrame, shortest: int = 20) -> DataFrame:
     rules = rules.select("h1", "h2", F.when(F.col("gone"), F.lit(None)).otherwise(F.col("at")).alias("keep"))
     # A frequent line is found in many documents: its rule is copied, its occurrences dealt by document.
     salted = rules.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    spread = hashed.drop("line").withColumn("salt", F.pmod(F.hash("at"), F.lit(SALTS)))
+    spread = hashed.withColumn("salt", F.pmod(F.hash("at"), F.lit(SALTS)))
     gone = spread.join(salted, ["h1", "h2", "salt"]).filter("keep is null or at != keep")
     return gone.groupBy("at.doc_id", "at.text_key").agg(F.collect_set("at.line_no").alias("removed"))
 
 
-def deduplicated(documents: DataFrame, shortest: int = 20) -> DataFrame:
-    """The documents with repeated lines cut out, in their own columns, and ``removed`` (line numbers) last."""
+def deduplicated(documents: DataFrame, shortest: int = 20, count_as: str | None = None) -> DataFrame:
+    """The documents without their repeated lines, in their own columns.
+
+    ``count_as`` names one more column for the number of lines removed.
+    """
     gone = stage(repeated_lines(documents, shortest), "lines-removed")
     d, g = documents.alias("d"), gone.alias("g")
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.text_key"))
     kept = F.expr("array_join(filter(split(d.text, '\\n'), (x, i) -> not array_contains(g.removed, i)), '\\n')")
-    columns = [
-        F.when(F.col("g.removed").isNull(), F.col("d.text")).otherwise(kept).alias("text") if c == "text" else F.col(f"d.`{c}`")
-        for c in documents.columns
-    ]
-    return d.join(g, same, "left").select(*columns, F.col("g.removed").alias("removed"))
+    text = F.when(F.col("g.removed").isNull(), F.col("d.text")).otherwise(kept)
+    columns = [text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in documents.columns]
+    if count_as is not None:
+        columns.append(F.when(F.col("g.removed").isNull(), F.lit(0)).otherwise(F.size("g.removed")).cast("long").alias(count_as))
+    return d.join(g, same, "left").select(*columns)
 
 
 @query("op2_line_dedup")
 def op2_line_dedup(spark, sf_dir):
-    """Lines, removed lines and what is left of all documents."""
-    cut = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    removed = F.coalesce(F.size("removed"), F.lit(0)).cast("long")
-    left = F.coalesce(F.col("text"), F.lit(""))
-    return cut.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.when(F.col("removed").isNull(), F.lit(0)).otherwise(removed).cast("long").alias("n_removed"),
-        F.sha2(left.cast("binary"), 256).alias("kept_sha256"),
-    )
+    """Removed lines and the digest of what is left, of all documents."""
+    given = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    left = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return deduplicated(given, count_as="n_removed").select("doc_id", "n_removed", F.sha2(left, 256).alias("kept_sha256"))

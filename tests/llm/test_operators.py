@@ -146,17 +146,18 @@ def test_lines_against_brute_force(spark):
         return x
 
     rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 6)))) for i in range(60)]
-    got = lines.deduplicated(table(spark, [(i, t, "a") for i, t in rows]).drop("removed"), shortest=8)
+    got = lines.deduplicated(table(spark, [(i, t, "a") for i, t in rows]), shortest=8)
     assert {r["doc_id"]: r["text"] for r in got.collect()} == plain_lines(rows, 8)
 
 
 def test_lines_of_odd_rows(odd, odd_rows, none):
-    odd, none = odd.drop("removed"), none.drop("removed")
-    got = rows_of(lines.deduplicated(odd))
-    assert len(got) == len(odd_rows) and lines.deduplicated(none).count() == 0
+    got = lines.deduplicated(odd, count_as="n_removed")
+    assert got.columns == [*odd.columns, "n_removed"] and lines.deduplicated(none).count() == 0
+    got = rows_of(got)
+    assert len(got) == len(odd_rows)
     by = {r["doc_id"]: r for r in got if r["doc_id"] and r["doc_id"] != 5}
-    assert by[2]["text"] is None and by[3]["text"] == "" and by[1]["removed"] is None
-    assert all(r["removed"] == [0] for r in got if r["doc_id"] == 5)  # equal to document 1
+    assert by[2]["text"] is None and by[3]["text"] == "" and by[1]["n_removed"] == 0
+    assert all((r["n_removed"], r["text"]) == (1, "") for r in got if r["doc_id"] == 5)  # equal to document 1
 
 
 # -- 3 Substrings -----------------------------------------------------------------
