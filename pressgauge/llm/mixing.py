@@ -109,7 +109,9 @@ def mix(
     part = F.col("expected") - F.col("whole")
     odds = (F.col("u") / (1 - F.col("u"))) / (part / (1 - part))
     docs = docs.withColumn("q", F.when(part > 0, odds)).withColumn("q", F.col("q") / (1 + F.col("q")))
-    docs = docs.withColumn("strip", F.coalesce(F.floor(F.col("q") * RANKS).cast("int"), F.lit(RANKS)))
+    # Documents without a draw need no order: they are dealt evenly.
+    aside = F.lit(RANKS) + F.pmod("text_key", F.lit(RANKS)).cast("int")
+    docs = docs.withColumn("strip", F.coalesce(F.floor(F.col("q") * RANKS).cast("int"), aside))
 
     strips = docs.groupBy("source", "strip", "target").agg(
         F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("certain")
