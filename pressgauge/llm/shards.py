@@ -134,7 +134,7 @@ def _dealt(kind: np.dtype, length: int, per_shard: int, n: int, key: int):
                         "doc_id": docs.take(pa.array(doc[some])), "ids": pa.array(
                             [x.tobytes() for x in np.split(ids[spot], np.cumsum(m)[:-1])], pa.large_binary()
                         ),
-                    }))
+                    }, level=6))
                 yield pa.RecordBatch.from_pydict({
                     "shard": pa.array(shards, pa.int64()), "payload": pa.array(payloads, pa.binary())
                 })
@@ -202,6 +202,7 @@ def shards(
             _tokenized(tokenizer), "task long, at long, doc_id long, n long, ids binary"
         ),
         "token-ids",
+        level=6,
     )
     tasks = ids.groupBy("task").agg(F.max(F.col("at") + F.col("n")).alias("ids"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)

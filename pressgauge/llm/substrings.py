@@ -43,13 +43,13 @@ from pressgauge.llm.vectors import BYTE, mixed, powers, runs
 GRAM = 16
 PACK = 16 << 20
 LAST = np.iinfo(np.int64).max
-_OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
-def _written(columns: dict) -> bytes:
+def _written(columns: dict, level: int = 3) -> bytes:
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))
     batch = pa.RecordBatch.from_pydict(columns)
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=_OPTIONS) as writer:
+    with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
