@@ -41,7 +41,7 @@ from pressgauge.llm.suffixes import ranks
 from pressgauge.llm.vectors import BYTE, mixed, powers, runs
 
 GRAM = 16
-PACK = 16 << 20
+PACK = 8 << 20
 LAST = np.iinfo(np.int64).max
 
 
