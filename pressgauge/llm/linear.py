@@ -98,7 +98,7 @@ def _slopes(weights):
             slope[:-1] += np.bincount(index, value * np.repeat(error, lengths), len(w) - 1)
             slope[-1] += error.sum()
             rows += len(label)
-        yield pa.RecordBatch.from_pydict({"loss": [loss], "rows": [rows], "slope": [slope.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"loss": [loss], "rows": [rows], "slope": [slope.astype(np.float32).tobytes()]})
 
     return run
 
@@ -142,17 +142,21 @@ def minimised(step: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndar
 
 
 def fitted(features: DataFrame, width: int, l2: float, rounds: int = 30) -> np.ndarray:
-    """Weights, the intercept last, from (label double, index array<int>, value array<float>)."""
+    """Weights, the intercept last, from (label double, index array<int>, value array<float>).
+
+    ``TASKS`` tasks bound what a step sends to the driver, however the rows are stored.
+    """
     context = features.sparkSession.sparkContext
+    features = features.coalesce(TASKS)
 
     def step(w: np.ndarray) -> tuple[float, np.ndarray]:
         sent = context.broadcast(w)
         parts = features.mapInArrow(_slopes(sent), "loss double, rows long, slope binary").collect()
-        sent.unpersist()
+        sent.destroy()
         parts.sort(key=lambda r: (r["rows"], r["loss"]))
         rows = max(1, sum(r["rows"] for r in parts))
         penalty = np.append(w[:-1], 0)
-        slope = sum((np.frombuffer(bytes(r["slope"])) for r in parts), np.zeros(len(w)))
+        slope = sum((np.frombuffer(bytes(r["slope"]), np.float32) for r in parts), np.zeros(len(w)))
         return sum(r["loss"] for r in parts) / rows + l2 / 2 * (penalty @ penalty), slope / rows + l2 * penalty
 
     return minimised(step, np.zeros(width + 1), rounds)

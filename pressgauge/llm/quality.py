@@ -37,7 +37,7 @@ from pressgauge.llm.linear import (
 )
 from pressgauge.llm.vectors import mixed, runs, shingles, word_hashes, words
 
-WIDTH = 1 << 18
+WIDTH = 1 << 17
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
