@@ -4,10 +4,11 @@ A document leaks an item if one of its windows of the item's number of words
 (cut at the ends of the text) has a weighted Jaccard similarity of 5-word
 shingles of at least ``percent`` with it: shingles count as often as they occur.
 
-1. Such a window shares a shingle with the item. So only windows are looked at
-   in which some shingle of an item stands where the item has it; the others
-   cannot reach the similarity. The item table is joined by its shingles, sent
-   to all executors only if Spark knows it to be small.
+1. A window of ``m`` shingles, cut or not, needs ``percent`` of ``m`` places with
+   a shingle of an item of its size, a whole one 2 percent / (100 + percent) of
+   them. Every window with so many is looked at, wherever the item has the
+   shingles: the others cannot reach the similarity. The item table is joined by
+   its shingles, sent to all executors only if Spark knows it to be small.
 2. Each window and item gets a 64-bit SimHash. ``radius`` + 1 blocks of its
    bits are keys: fingerprints within the radius agree in a block at least.
    Windows meet items of their size by (size, block, value).
@@ -66,6 +67,20 @@ def _blocks(radius: int) -> Column:
     ]))
 
 
+def _least(above: str, below: str) -> str:
+    """SQL for the least number of places of a window of n words: above / below of its shingles, 1 at least."""
+    return f"greatest(cast(ceil(({above}) * (n - {SHINGLE - 1}) / ({below})) as int), 1)"
+
+
+def _starts(least: str) -> str:
+    """SQL for all starts, each once, of windows of n words that hold ``least`` of the sorted ``places``."""
+    last = f"places[i + {least} - 1]"
+    begin = f"greatest({last} - (n - {SHINGLE}), if(i > 0, places[i - 1] + 1, {last} - (n - {SHINGLE})))"
+    return f"""flatten(transform(
+        filter(sequence(0, size(places) - 1), i -> i + {least} <= size(places) and {last} - places[i] <= n - {SHINGLE}),
+        i -> sequence({begin}, places[i])))"""
+
+
 _SHARED = """aggregate(array_distinct(ws), 0, (c, x) -> c + least(
     size(filter(ws, y -> y = x)), size(filter(item_shingles, y -> y = x))))"""
 
@@ -79,23 +94,31 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = 80, radius:
     items = _shingled(items).filter(F.size("shingles") > 0)
     items = items.withColumn("simhash", _simhash("shingles")).select("item_id", "n", "shingles", "simhash")
     items = stage(items, "benchmark-items")
-    seeds = items.select("n", F.posexplode("shingles").alias("at", "shingle")).distinct()
+    seeds = items.select("n", F.explode("shingles").alias("shingle")).distinct()
     seeds = stage(seeds.coalesce(1), "benchmark-seeds")
 
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     found = _shingled(docs).select("doc_id", "text_key", F.posexplode("shingles").alias("place", "shingle"))
-    starts = found.join(seeds, "shingle").select("doc_id", "text_key", (F.col("place") - F.col("at")).alias("first"), "n")
-    starts = starts.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "n")).alias("wanted"))
+    hits = found.join(seeds, "shingle").groupBy("doc_id", "text_key", "n").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    hits = hits.withColumn("least", F.expr(_least(f"{percent}", "100")))
+    hits = hits.withColumn("most", F.expr(_least(f"2 * {percent}", f"100 + {percent}")))
+    # Cut windows need fewer places than whole ones, but stand at the ends of a text only.
+    starts = hits.select(
+        "doc_id", "text_key", "n", F.expr(_starts("most")).alias("whole"), F.expr(_starts("least")).alias("any"),
+    ).filter(F.size("any") > 0)
+    starts = starts.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("n", "whole", "any")).alias("wanted"))
     starts = stage(starts, "benchmark-windows")
 
     s = starts.alias("s")
     same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_key") == F.col("s.text_key"))
     held = docs.alias("d").join(s, same).select("d.doc_id", "d.text_key", "d.text", "s.wanted")
     held = _shingled(held).select("doc_id", "text_key", "shingles", F.explode("wanted").alias("w"))
-    begin = F.greatest(F.col("w.first"), F.lit(0))
+    end = f"size(shingles) - (w.n - {SHINGLE - 1})"
+    kept = F.expr(f"""concat(filter(w.whole, a -> a >= 0 and a <= {end}), filter(w.any, a -> a < 0 or a > {end}))""")
+    held = held.withColumn("first", F.explode(kept))
     windows = held.select(
-        "doc_id", "text_key", begin.alias("first_word"), F.col("w.n").alias("n"), F.expr(
-            f"slice(shingles, greatest(w.first, 0) + 1, greatest(w.first + w.n - {SHINGLE - 1} - greatest(w.first, 0), 0))"
+        "doc_id", "text_key", F.greatest("first", F.lit(0)).alias("first_word"), F.col("w.n").alias("n"), F.expr(
+            f"slice(shingles, greatest(first, 0) + 1, greatest(first + w.n - {SHINGLE - 1} - greatest(first, 0), 0))"
         ).alias("ws"),
     ).filter(F.size("ws") > 0)
     windows = stage(windows.withColumn("simhash", _simhash("ws")), "benchmark-hashed")

@@ -261,6 +261,49 @@ def test_leaks(spark, odd, none):
     assert decontamination.leaks(none, bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def plain_leaks(rows, items, percent):
+    """(doc, item): (similarity, shared, total, first word) of the best of all windows."""
+
+    def five(text):
+        w = re.findall(decontamination.WORD, (text or "").lower())
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    out = {}
+    for (d, text, *_), (k, item) in itertools.product(rows, items):
+        have, want = five(text), five(item)
+        m, counts = len(want), Counter(want)
+        for a in range(1 - m, len(have)) if want else ():
+            window = have[max(a, 0) : a + m]
+            shared = sum((Counter(window) & counts).values())
+            total = len(window) + m - shared
+            if shared and 100 * shared >= percent * total:
+                out[d, k] = max(out.get((d, k), (0,)), (shared / total, -max(a, 0), shared, total))
+    return {k: (v[2], v[3], -v[1]) for k, v in out.items()}
+
+
+def test_leaks_against_brute_force(spark):
+    """All windows, with items that are reordered, changed, cut or shifted inside."""
+    rng = random.Random(66)
+    items = [(i, prose(rng, n)) for i, n in enumerate((50, 50, 40, 30, 5, 12))] + [(6, "so it is " * 12)]
+    rows = []
+    for i in range(84):
+        w = items[i % 7][1].split()
+        k = rng.choice([6, 8, len(w) // 2])
+        w = [
+            lambda: w[k:] + w[:k], lambda: w[len(w) // 2 :] + w[: len(w) // 2], lambda: w[:-3] + ["x"], lambda: w[4:],
+            lambda: w[: len(w) // 2] + ["other"] + w[len(w) // 2 :], lambda: ["y"] * 2 + w[2:],
+        ][i // 7 % 6]()
+        ahead, after = ("", prose(rng, 20)) if i % 5 == 0 else (prose(rng, 30), "") if i % 5 == 1 else (prose(rng, 30), prose(rng, 20))
+        rows.append((i, f"{ahead} {' '.join(w)} {after}", "a"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for percent in (80, 60):
+        got = rows_of(decontamination.leaks(table(spark, rows), bench, percent, 40 if percent == 60 else 22))
+        assert {(r["doc_id"], r["item_id"]): (r["shared"], r["total"], r["first_word"]) for r in got} == plain_leaks(rows, items, percent)
+    # The case of the first 8 of 50 words moved to the end.
+    w = items[0][1].split()
+    assert plain_leaks([(1, " ".join(w[8:] + w[:8]))], items[:1], 80)[1, 0][:2] == (42, 50)
+
+
 def test_radius_covers_the_similarity(spark):
     """Of pairs at the similarity of 0.8, none is beyond the radius."""
     rng = np.random.default_rng(8)
