@@ -3,7 +3,8 @@
 Whether a text has a hashed, lower-cased character n-gram (3 to ``LONGEST``
 code points) is a feature. On labelled texts the ratio of its smoothed shares
 among toxic and other texts gives ``r``; features with ``|r|`` below ``least``
-or in fewer than ``rare`` texts are left out. A logistic regression is trained
+or in fewer than ``rare`` texts are left out. With fewer than ``few`` texts to
+train on, ``least`` falls in proportion, to 0.7 at the lowest. A logistic regression is trained
 on the features times ``r``; a text's score is its probability.
 
 Labels come from rows whose crc32 of the id, modulo 4, is not 2, at most
@@ -84,13 +85,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"label": [0.0, 1.0], "rows": rows, "counts": [c.tobytes() for c in counts]})
 
 
-def _ratios(sample: DataFrame, smooth: float, least: float, rare: int) -> tuple[np.ndarray, list[int]]:
+def _ratios(sample: DataFrame, smooth: float, least: float, rare: int, few: int) -> tuple[np.ndarray, list[int]]:
     total, rows = np.zeros((2, WIDTH)), [0, 0]
     for part in sample.coalesce(TASKS).mapInArrow(_counted, "label double, rows long, counts binary").toLocalIterator():
         total[int(part["label"])] += np.frombuffer(bytes(part["counts"]), np.int32)
         rows[int(part["label"])] += part["rows"]
     shares = (total + smooth) / (total + smooth).sum(1, keepdims=True)
     ratio = np.log(shares[1] / shares[0])
+    least = min(least, max(0.7, least * sum(rows) / few))
     ratio[(np.abs(ratio) < least) | (total.sum(0) < rare)] = 0
     return ratio.astype(np.float32), rows
 
@@ -120,12 +122,13 @@ def train(
     limit: int = 12_000,
     smooth: float = 1.0,
     least: float = 1.5,
-    rare: int = 8,
+    rare: int = 5,
     l2: float = 1e-2,
+    few: int = 1_000,
 ) -> Model:
     sample = labelled_sample(documents, labels, "toxic", limit).select("text", "label", "fold")
     context = documents.sparkSession.sparkContext
-    ratio, rows = _ratios(sample.filter(F.col("fold") != CALIBRATION).select("text", "label"), smooth, least, rare)
+    ratio, rows = _ratios(sample.filter(F.col("fold") != CALIBRATION).select("text", "label"), smooth, least, rare, few)
     if not all(rows):
         share = min(max(rows[1] / max(1, sum(rows)), 1e-6), 1 - 1e-6)
         return Model(np.zeros(WIDTH, np.float32), float(np.log(share / (1 - share))), (1.0, 0.0))

@@ -343,6 +343,21 @@ def test_toxicity(spark, odd, labels, none):
     assert set(toxicity.scored(docs, alone).toPandas().score.round(3)) == {0.0}
 
 
+def test_toxicity_of_words_in_few_texts(spark):
+    """Words in 6 training texts each, all toxic, are evidence."""
+    rng = random.Random(10)
+    used = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 in (0, 1)]
+    words = ["zgrobnik", "wjaxxor", "quvvyth", "kzefplo"]
+    with_word = dict(zip(used, [w for w in words for _ in range(6)]))
+    rows = [(i, f"{prose(rng, 20)} {with_word.get(i, '')} {prose(rng, 20)}", "a") for i in range(400)]
+    marks = spark.createDataFrame([(i, 1, int(i in with_word)) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(table(spark, rows), marks)
+    plain = prose(rng, 30)
+    new = table(spark, [(1000 + k, f"{plain} {w}", "a") for k, w in enumerate(["", *words])])
+    score = {r["doc_id"] - 1000: r["score"] for r in rows_of(toxicity.scored(new, model))}
+    assert all(score[k] > score[0] for k in range(1, 5))
+
+
 def test_held_out_labels_are_not_read(spark):
     docs = spark.createDataFrame([(i, "x") for i in range(200)], "doc_id long, text string")
     held = {r["doc_id"] for r in docs.filter(fold("doc_id") == HELD_OUT).collect()}
