@@ -229,8 +229,7 @@ def hierarchical_selection(t):
 
 @register("rg05_isolated_winners")
 def isolated_winners(t):
-    alone = {n: [n] for n in MONTHLY_NAMES}
-    return regression.winners_by_size(regression.lasso_fits(rows_of(t, alone), REGION, "period"), REGION, 2)
+    return regression.isolated_winners(stored_panel(t), list(MONTHLY_NAMES), TARGET, REGION, "period", LAGS, 2)
 
 
 add("simple", ("panel",), " UNION ALL ".join(

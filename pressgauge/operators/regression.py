@@ -386,6 +386,16 @@ def winners_by_size(fits: DataFrame, keys: list[str], n: int) -> DataFrame:
     return first_per_group(best, keys, [F.desc("abs_coef"), F.col("model"), F.col("feature")], n)
 
 
+def isolated_winners(
+    aligned: DataFrame, names: list[str], target: str, keys: list[str], time: str, lags: list[int], n: int
+) -> DataFrame:
+    """The ``n`` largest leading series, each fitted alone, of those that lead in the joint fit."""
+    joint = lasso_fits(design_rows(aligned, {"all": names}, target, keys, time, lags), keys, time)
+    passed = significant(joint).select(*keys, F.col("feature").alias("model")).distinct()
+    alone = design_rows(aligned, {x: [x] for x in names}, target, keys, time, lags)
+    return winners_by_size(lasso_fits(alone.join(passed, [*keys, "model"], "left_semi"), keys, time), keys, n)
+
+
 def hierarchical_selection(
     aligned: DataFrame,
     sectors: list[str],

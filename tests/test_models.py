@@ -121,6 +121,18 @@ def test_hierarchical_selection(planted):
     assert best == {"A": "energy_coal", "B": "energy_coal"}
 
 
+def test_isolated_winners_lead_jointly(planted):
+    """A noisy copy of the signal leads alone, but not beside the signal."""
+    wide = planted.withColumn("copy", F.col("signal") + F.col("noise"))
+    names, lags = ["signal", "copy"], [1, 2, 3, 4]
+    alone = regression.lasso_fits(regression.design_rows(wide, {n: [n] for n in names}, "y", ["region_key"], "t", lags), ["region_key"], "t")
+    without = {(r["region_key"], r["feature"]) for r in regression.winners_by_size(alone, ["region_key"], 2).collect()}
+    joint = regression.lasso_fits(regression.design_rows(wide, {"all": names}, "y", ["region_key"], "t", lags), ["region_key"], "t")
+    passed = {(r["region_key"], r["feature"]) for r in regression.significant(joint).collect()}
+    got = {(r["region_key"], r["feature"]) for r in regression.isolated_winners(wide, names, "y", ["region_key"], "t", lags, 2).collect()}
+    assert got == without & passed and got != without and {("A", "signal"), ("B", "signal")} <= got
+
+
 def test_best_predictor(planted):
     tall = planted.select("region_key", "t", "y", F.inline(F.array(
         *[F.struct(F.lit(n).alias("series"), F.col(n).alias("x")) for n in ("signal", "noise")])))
