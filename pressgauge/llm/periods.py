@@ -125,6 +125,8 @@ def runs_of(hashes: np.ndarray, firsts: np.ndarray, least: int = SHORTEST) -> di
 
 def _kept_words(text: bytes, some: list[tuple[int, int, int]]) -> bytes:
     parts = text.split()  # the separators of bytes are those of WORD
+    if not some:
+        return b" ".join(parts)
     change = np.zeros(len(parts) + 1, np.int64)
     for start, length, period in some:
         change[start + period] += 1
