@@ -12,12 +12,19 @@ similarity ``s`` differ in a share ``1 - s`` of the places, on average.
    exactly (chunk, error, three values). Every pair within the radius shares a key.
 3. In the list of a key, each class is paired with the smallest one. Pairs
    within the radius are confirmed on whole sets and joined to components.
-4. Lists that still hold several components: all pairs across components are
+4. In lists that still hold several components, ``ROUNDS`` times, another member is
+   the leader, drawn by a hash: of each class that is in another component than
+   the leader, the nearest such pair is confirmed. A group of near copies of which
+   most pairs link becomes one component here, by few confirmations.
+5. Lists that then hold several components: all pairs across components are
    tried, never those inside one. Long lists are cut into blocks of at most about
    ``BLOCK`` members, a large component's members into blocks of their own; two
    blocks of one component do not meet. Block pairs are dealt to tasks, compared by
    signature there, and only pairs within the radius become rows.
-5. Those are confirmed as well, and the components made anew.
+6. Those are confirmed as well, and the components made anew.
+
+Before a pair is confirmed, its sets must agree in the parities of ``CELLS`` cells:
+the cells that differ are at most the tokens that only one of the two has.
 
 The radius is wide: at the similarity of 0.8 the 48 places differ in 9.6 on
 average; more than 23 differ with a probability of 3e-6. The join loses no pair
@@ -46,7 +53,9 @@ from pressgauge.llm.vectors import mixed, shingle_sets
 CHUNKS, WIDE = 12, 4
 SLOTS = CHUNKS * WIDE
 RADIUS = 2 * CHUNKS - 1
+CELLS = 2048
 BLOCK = 512
+ROUNDS = 1
 
 _SIGNED = np.int64
 _RANDOM = np.random.default_rng(11).integers(0, 2**63, (2, SLOTS), dtype=np.uint64)
@@ -66,6 +75,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parities(tokens: np.ndarray) -> bytes:
+    """Whether each of ``CELLS`` cells holds an odd number of tokens."""
+    cells = np.bincount(((tokens >> np.uint64(20)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    return np.packbits((cells & 1).astype(bool)).tobytes()
+
+
 def _identity(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(int(mixed(tokens, seed).sum(dtype=np.uint64).astype(_SIGNED)) for seed in (1, 2))
 
@@ -79,6 +94,7 @@ def _signed(n: int):
             "doc_id": ids, "n": pa.array([len(s) for s in sets], pa.int64()),
             "k1": pa.array([k[0] for k in keys], pa.int64()), "k2": pa.array([k[1] for k in keys], pa.int64()),
             "signature": pa.array([row.tobytes() for row in signatures(sets)], pa.binary()),
+            "cells": pa.array([parities(s) for s in sets], pa.binary()),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,48 +136,62 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"key": keys.reshape(-1).view(_SIGNED), "node": nodes})
 
 
-def _may_link(sizes_a, sizes_b, percent: int):
-    return 100 * np.minimum(sizes_a, sizes_b) >= percent * np.maximum(sizes_a, sizes_b)
+def _cells(packed: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(packed.to_pylist()), np.int64).reshape(-1, CELLS // 64)
+
+
+def _may_link(na, nb, places_a, places_b, cells_a, cells_b, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of pairs that fit in size, signature and parities, and how far their signatures are apart."""
+    good = np.flatnonzero(100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+
+    def of(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return x[rows if len(x) > 1 else np.zeros_like(rows)]  # one row stands for all
+
+    apart = (of(places_a, good) != of(places_b, good)).sum(1)
+    good, apart = good[apart <= RADIUS], apart[apart <= RADIUS]
+    unlike = np.bitwise_count(of(cells_a, good) ^ of(cells_b, good)).sum(1, dtype=np.int64)
+    fits = unlike * (100 + percent) <= (100 - percent) * (of(na, good) + of(nb, good))
+    return good[fits], apart[fits]
 
 
 def _near(percent: int):
-    """Pairs (a, b, na, nb, signature of a, of b) whose sizes fit and whose signatures are within the radius."""
+    """(a, b, apart) of the pairs (a, b, na, nb, signatures, cells) that may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-                apart = (_places(batch.column(4)) != _places(batch.column(5))).sum(1)
-                good = (apart <= RADIUS) & _may_link(na, nb, percent)
-                yield batch.select([0, 1]).filter(pa.array(good))
+                places = [_places(batch.column(i)) for i in (4, 5)]
+                good, apart = _may_link(na, nb, *places, *(_cells(batch.column(i)) for i in (6, 7)), percent)
+                some = batch.select([0, 1]).take(pa.array(good))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(apart.astype(np.int32))], names=["a", "b", "apart"])
 
     return run
 
 
-def block_pairs(node, part, n, places, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components within the radius, among the members of one or two blocks."""
+def block_pairs(node, part, n, places, cells, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components that may link, among the members of one or two blocks."""
     order = np.lexsort((node, part))
-    node, part, n, places = node[order], part[order], n[order], places[order]
+    node, part, n, places, cells = (x[order] for x in (node, part, n, places, cells))
     # Members of one component stand together: each is compared with what follows its component.
     behind = np.searchsorted(part, part, "right")
     found_a, found_b = [np.zeros(0, _SIGNED)], [np.zeros(0, _SIGNED)]
     for i in range(len(node)):
-        rest = slice(behind[i], None)
-        fits = np.flatnonzero(_may_link(n[i], n[rest], percent)) + behind[i]
-        if len(fits):
-            fits = fits[(places[fits] != places[i]).sum(1) <= RADIUS]
+        if behind[i] < len(node):
+            one, rest = slice(i, i + 1), slice(behind[i], None)
+            fits, _ = _may_link(n[one], n[rest], places[one], places[rest], cells[one], cells[rest], percent)
             found_a.append(np.full(len(fits), node[i]))
-            found_b.append(node[fits])
+            found_b.append(node[rest][fits])
     a, b = np.concatenate(found_a), np.concatenate(found_b)
     return np.minimum(a, b), np.maximum(a, b)
 
 
 def _across(percent: int):
-    """Sorted rows (key, one, other, node, component, n, signature): the pairs of each (key, one, other)."""
+    """Sorted rows (key, one, other, node, component, n, signature, cells): the pairs of each (key, one, other)."""
 
     def written(rows: dict[str, np.ndarray], edges: list[int]) -> pa.RecordBatch:
         pairs = [
-            block_pairs(*(rows[c][i:j] for c in ("node", "component", "n", "places")), percent)
+            block_pairs(*(rows[c][i:j] for c in ("node", "component", "n", "places", "cells")), percent)
             for i, j in zip(edges[:-1], edges[1:], strict=True)
             if j > i + 1
         ]
@@ -177,7 +207,7 @@ def _across(percent: int):
                 continue
             names = ("key", "one", "other", "node", "component", "n")
             now = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
-            now["places"] = _places(batch.column(6))
+            now["places"], now["cells"] = _places(batch.column(6)), _cells(batch.column(7))
             if held is not None:
                 now = {c: np.concatenate([held[c], now[c]]) for c in now}
             new = np.zeros(len(now["key"]), bool)
@@ -237,13 +267,13 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
     """(doc_id, n_shingles, component_id, kept) of every row of ``documents``."""
     spark = documents.sparkSession
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = texts.mapInArrow(_signed(n), "doc_id long, n long, k1 long, k2 long, signature binary")
+    signed = texts.mapInArrow(_signed(n), "doc_id long, n long, k1 long, k2 long, signature binary, cells binary")
     signed = stage(signed, "minhash-signatures")
     classes = signed.filter("n > 0").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.any_value("signature").alias("signature")
+        F.min("doc_id").alias("first_id"), F.max("n").alias("n"), *[F.any_value(c).alias(c) for c in ("signature", "cells")]
     )
     classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
-    facts = classes.select("node", "n", "signature")
+    facts = classes.select("node", "n", "signature", "cells")
 
     keys = classes.select("node", "signature").mapInArrow(_listed, "key long, node long")
     leaders = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
@@ -261,14 +291,29 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
         whole = pairs.join(found.toDF("b", "text_b"), "b").join(found.toDF("a", "text_a"), "a")
         return stage(whole.select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(n, percent), "a long, b long"), "minhash-links")
 
-    starred = lists.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    starred = starred.join(facts.toDF("b", "nb", "sb"), "b").join(facts.toDF("a", "na", "sa"), "a")
-    starred = starred.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent), "a long, b long")
-    near = confirmed(stage(starred, "minhash-starred"))
-    groups = stage(links.components(near), "minhash-components")
+    def within(pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, apart) of the distinct pairs that may link."""
+        sides = pairs.distinct().join(facts.toDF("b", "nb", "sb", "cb"), "b").join(facts.toDF("a", "na", "sa", "ca"), "a")
+        sides = sides.select("a", "b", "na", "nb", "sa", "sb", "ca", "cb")
+        return stage(sides.mapInArrow(_near(percent), "a long, b long, apart int"), name)
+
+    def grouped(links_now: DataFrame) -> DataFrame:
+        groups = links.components(links_now)
+        named = lists.select("key", "node").join(groups, "node", "left")
+        return stage(named.select("key", "node", F.coalesce("component", "node").alias("component")), "minhash-named")
+
+    starred = lists.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    near = confirmed(within(starred, "minhash-starred").select("a", "b"))
+    named = grouped(near)
+    for turn in range(ROUNDS):
+        drawn = F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("h"), "node", "component")
+        heads = named.groupBy("key").agg(F.min(drawn).alias("x"), F.min("component").alias("low"), F.max("component").alias("high"))
+        heads = heads.filter("low != high").select("key", F.col("x.node").alias("a"), F.col("x.component").alias("of"))
+        pairs = named.join(heads, "key").filter("component != of").select("a", F.col("node").alias("b"))
+        best = within(pairs, "minhash-drawn").groupBy("b").agg(F.min(F.struct("apart", "a")).alias("x")).select("x.a", "b")
+        near = near.unionByName(confirmed(stage(best, "minhash-nearest")))
+        named = grouped(near)
 
-    named = lists.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = stage(named.select("key", "node", "component"), "minhash-named")
     sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     split = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("members")).filter("parts > 1")
     # Members of a large component have blocks of their own (``of`` names it), others share blocks.
@@ -288,7 +333,7 @@ def near_duplicates(documents: DataFrame, n: int = 5, percent: int = 80) -> Data
         pairs.filter("one != other").select("key", "one", "other", F.col("other").alias("block"))
     )
     dealt = member.select("key", "block", "node", "component").join(sides, ["key", "block"]).join(facts, "node")
-    dealt = dealt.select("key", "one", "other", "node", "component", "n", "signature")
+    dealt = dealt.select("key", "one", "other", "node", "component", "n", "signature", "cells")
     dealt = dealt.repartition("key", "one", "other").sortWithinPartitions("key", "one", "other")
     across = stage(dealt.mapInArrow(_across(percent), "a long, b long").distinct(), "minhash-across")
     groups = links.components(near.unionByName(confirmed(across)))

@@ -122,7 +122,7 @@ def test_blocks_of_a_hot_list():
     rng = np.random.default_rng(5)
     places = np.tile(rng.integers(0, 65_536, minhash.SLOTS).astype(np.uint16), (200, 1))
     part = np.array([1] * 197 + [2, 3, 3])
-    a, b = minhash.block_pairs(np.arange(200), part, np.full(200, 50), places, 80)
+    a, b = minhash.block_pairs(np.arange(200), part, np.full(200, 50), places, np.zeros((200, 32), np.int64), 80)
     assert len(a) == 197 * 3 + 2 and all(part[x] != part[y] for x, y in zip(a, b))
 
 
