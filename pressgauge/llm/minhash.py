@@ -137,7 +137,8 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(packed: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(packed.to_pylist()), np.int64).reshape(-1, CELLS // 64)
+    # Unsigned: the count of bits of a negative number would be that of its absolute value.
+    return np.frombuffer(b"".join(packed.to_pylist()), np.uint64).reshape(-1, CELLS // 64)
 
 
 def _may_link(na, nb, places_a, places_b, cells_a, cells_b, percent: int) -> tuple[np.ndarray, np.ndarray]:

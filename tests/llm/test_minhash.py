@@ -117,12 +117,24 @@ def plain_null_safe(rows):
     return plain(rows, 2, 80)
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(6)
+    for n in (3, 40, 600):
+        union = rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2)
+        a, b = union[: n - n // 10], union[n // 10 :]
+        cells = [np.frombuffer(minhash.parities(x), np.uint64)[None] for x in (a, b)]
+        assert np.bitwise_count(cells[0] ^ cells[1]).sum() <= 2 * (n // 10)
+        places = minhash.signatures([a, b])
+        good, _ = minhash._may_link(np.array([len(a)]), np.array([len(b)]), places[:1], places[1:], *cells, 80)
+        assert len(good) == 1
+
+
 def test_blocks_of_a_hot_list():
     """One large component and outsiders: inside the component nothing is compared."""
     rng = np.random.default_rng(5)
     places = np.tile(rng.integers(0, 65_536, minhash.SLOTS).astype(np.uint16), (200, 1))
     part = np.array([1] * 197 + [2, 3, 3])
-    a, b = minhash.block_pairs(np.arange(200), part, np.full(200, 50), places, np.zeros((200, 32), np.int64), 80)
+    a, b = minhash.block_pairs(np.arange(200), part, np.full(200, 50), places, np.zeros((200, 32), np.uint64), 80)
     assert len(a) == 197 * 3 + 2 and all(part[x] != part[y] for x, y in zip(a, b))
 
 
