@@ -228,7 +228,8 @@ def _across(percent: int):
                 continue
             names = ("token", "node", "component", "n")
             now = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(names)}
-            now["bits"] = batch.column(4).flatten().to_numpy().reshape(batch.num_rows, -1)
+            # Unsigned: the count of bits of a negative number would be that of its absolute value.
+            now["bits"] = batch.column(4).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
             if held is not None:
                 now = {c: np.concatenate([held[c], now[c]]) for c in now}
             edges = np.flatnonzero(np.concatenate([[True], now["token"][1:] != now["token"][:-1]])).tolist()
