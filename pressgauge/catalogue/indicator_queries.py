@@ -157,8 +157,8 @@ def wide_sql(metrics):
 
 @register("ag13_wide_table", query(wide_sql(ind.METRICS), "indicators", "total_news"))
 def wide_table(t):
-    long = ind.long_indicators(t.clean, t.taxonomy)
-    wide = ind.wide_indicators(long, ind.daily_totals(t.clean), ind.pivot_names(t.taxonomy))
+    long = ind.long_indicators(t.clean, t.taxonomy, totals=True)
+    wide = ind.wide_indicators(long, ind.pivot_names(t.taxonomy))
     return rounded(wide, *names_of(ind.METRICS))
 
 
@@ -176,8 +176,8 @@ def wide_regional_table(t):
 
 @register("prj13_wide_names", query(wide_sql(("att",)), "indicators", "total_news"))
 def wide_names(t):
-    long = ind.long_indicators(t.clean, t.taxonomy)
-    wide = ind.wide_indicators(long, ind.daily_totals(t.clean), ind.pivot_names(t.taxonomy), ("att",))
+    long = ind.long_indicators(t.clean, t.taxonomy, totals=True)
+    wide = ind.wide_indicators(long, ind.pivot_names(t.taxonomy), ("att",))
     return rounded(wide, *names_of(("att",)))
 
 

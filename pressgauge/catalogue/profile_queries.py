@@ -42,9 +42,7 @@ STEPS = (("raw", "gkg", "SourceCommonName_ID"), ("dated", "sourced", "Src_ID"),
     ),
 )
 def cleaning_funnel(t):
-    raw = t.gkg.withColumnRenamed("SourceCommonName_ID", "Src_ID")
-    sourced = cleaning.with_source(cleaning.dated(t.gkg), t.dictionary)
-    return profiling.funnel([("raw", raw), ("dated", sourced), ("base", t.base), ("final", final(t))])
+    return profiling.funnel(cleaning.passed_steps(t.gkg, t.dictionary, t.whitelist), cleaning.STEPS)
 
 
 @register(

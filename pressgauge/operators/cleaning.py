@@ -136,6 +136,28 @@ def clean_articles(
     return to_clean(with_enough_themes(from_sources(base, sources), rules))
 
 
+STEPS = ("raw", "dated", "base", "final")
+
+
+def passed_steps(
+    articles: DataFrame, dictionary: Lookup, sources: Lookup, rules: CleaningRules = DEFAULT_RULES
+) -> DataFrame:
+    """All articles with their source, as stored and repaired, and a flag for each step that they pass."""
+    rows = articles.select(
+        "GKGRECORDID", "DATE", "EnhancedThemes", "WordCount", "SourceCommonName_ID", "DocumentIdentifier",
+        F.col("SourceCommonName_ID").alias("raw_source"),
+    )
+    rows = with_source(rows, dictionary, keep_unknown=True)
+    listed = Lookup(sources.frame.select("Src_ID").distinct().withColumn("_listed", F.lit(True)), sources.rows)
+    rows = lookup_join(rows, listed, ["Src_ID"], "left", spread_by="GKGRECORDID")
+    themes = F.col("EnhancedThemes")
+    dated = c.has_valid_date(F.col("DATE")) & ~F.col("GKGRECORDID").isin(*rules.bad_record_ids) & F.col("Src_ID").isNotNull()
+    base = dated & (themes != "") & F.col("WordCount").between(rules.min_words, rules.max_words)
+    final = base & F.col("_listed") & (c.theme_count_or_zero(themes) >= rules.min_themes)
+    flags = {"dated": dated, "base": base, "final": final}
+    return rows.select("raw_source", "Src_ID", *[F.coalesce(flags[s], F.lit(False)).alias(s) for s in STEPS[1:]])
+
+
 def pure_sources(articles: DataFrame, more_than: int = 1000, min_years: int = 2) -> DataFrame:
     """Long-standing sources: more than ``more_than`` articles over the years."""
     return (

@@ -41,9 +41,13 @@ def cooccurrence(articles: DataFrame, more_than: int = 500) -> DataFrame:
     article only forms the pairs of its distinct themes. They are streamed by
     two generators, never held as a list, and summed per task before the
     shuffle. No articles meet each other, so there is no hot group.
+
+    The first generator is an outer one: for an inner one the optimizer infers
+    a filter on the bag's size and moves it into the scan, with the bag's whole
+    definition written into it, sort by sort.
     """
-    left = theme_bags(articles).select("year", "bag", F.posexplode("bag").alias("_i", "_l"))
-    pairs = left.select(
+    left = theme_bags(articles).select("year", "bag", F.posexplode_outer("bag").alias("_i", "_l"))
+    pairs = left.filter(F.col("_i").isNotNull()).select(
         "year", "_l", F.explode(F.slice("bag", F.col("_i") + 2, F.size("bag"))).alias("_r")
     )
     return (

@@ -6,13 +6,15 @@ the regional indicators are one plan with one more key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressgauge.functions.columns import safe_ratio
 from pressgauge.operators.lookups import Lookup, lookup_join
 
 SECTOR_ROW = "__sector__"
+TOTAL_ROW = "__total__"
+NO_THEME = ";"  # themes are split at it, so that none can be it
 SUMS = ("sum_w", "sum_t_cont", "sum_t_bin", "sum_t_cont_w", "sum_t_bin_w")
 METRICS = (
     "att",
@@ -45,16 +47,18 @@ def regional_articles(clean: DataFrame, regions: Lookup) -> DataFrame:
     place. This equals the join on ids as long as ids are unique;
     ``regional_articles_by_id`` keeps the join for tables with repeated ids.
     """
-    touched = F.filter(
-        F.col("_regions"), lambda r: F.arrays_overlap(r["codes"], F.col("countries_list"))
-    )
     return (
-        clean.withColumn("_regions", region_table(regions))
-        .withColumn("region_key", F.explode(F.transform(touched, lambda r: r["region_key"])))
-        .drop("_regions", "countries_list")
+        with_region_keys(clean, regions).withColumn("region_key", F.explode("region_keys")).drop("region_keys", "countries_list")
     )
 
 
+def with_region_keys(clean: DataFrame, regions: Lookup) -> DataFrame:
+    """Clean articles with the list of regions that they touch."""
+    touched = F.filter(F.col("_regions"), lambda r: F.arrays_overlap(r["codes"], F.col("countries_list")))
+    keyed = clean.withColumn("_regions", region_table(regions))
+    return keyed.withColumn("region_keys", F.transform(touched, lambda r: r["region_key"])).drop("_regions")
+
+
 def article_regions(clean: DataFrame, regions: Lookup) -> DataFrame:
     """Distinct (article, day, region) for every region an article touches."""
     exploded = clean.select("GKGRECORDID", "period", F.explode("countries_list").alias("country_code"))
@@ -165,47 +169,71 @@ def with_metrics(sums: DataFrame) -> DataFrame:
     )
 
 
-def article_weights(clean: DataFrame, taxonomy: Lookup, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Weight of each article per category and per sector, in one aggregation.
+def article_weights(
+    clean: DataFrame, taxonomy: Lookup, keys: tuple[str, ...] = (), regions: Lookup | None = None
+) -> DataFrame:
+    """Weight of each article per category, per sector and in total, in one aggregation.
 
     The taxonomy lists every theme for its category and once more for its
-    sector. Category rows are kept apart by the article's attributes, sector
-    rows only by its id, so copies of an id that differ behave as in
-    ``category_sums`` and ``sector_sums``; those two share no work, this does.
+    sector, and every article has one more theme that stands for the total.
+    Category rows are kept apart by the article's attributes, the others only
+    by its id, so copies of an id that differ behave as in ``category_sums``,
+    ``sector_sums`` and ``daily_totals``; those share no work, this does.
+
+    With ``regions`` the regions of an article go through the aggregation as a
+    list and are opened after it, so its themes are not multiplied by them.
     """
-    both = Lookup(
-        taxonomy.frame.select(
-            "theme", "sector", F.explode(F.array("cat_key", F.lit(SECTOR_ROW))).alias("granularity")
-        ),
-        taxonomy.rows * 2,
+    both = taxonomy.frame.select(
+        "theme", "sector", F.explode(F.array("cat_key", F.lit(SECTOR_ROW))).alias("granularity")
+    )
+    total = clean.sparkSession.range(1).select(
+        F.lit(NO_THEME).alias("theme"), F.lit(TOTAL_ROW).alias("sector"), F.lit(TOTAL_ROW).alias("granularity")
     )
+    listed = Lookup(both.unionByName(total), taxonomy.rows * 2 + 1)
     attributes = ("tone", "tone_bin", "total_themes_count")
-    mentions = clean.select("GKGRECORDID", "period", *keys, *attributes, F.explode("themes_list").alias("theme"))
-    by_category = F.col("granularity") != SECTOR_ROW
-    return (
-        lookup_join(mentions, both, ["theme"], spread_by="GKGRECORDID")
+    held = ("region_keys",) if regions is not None else ()
+    rows = clean if regions is None else with_region_keys(clean, regions)
+    themes = F.explode(F.concat("themes_list", F.array(F.lit(NO_THEME)))).alias("theme")
+    mentions = rows.select("GKGRECORDID", "period", *keys, *held, *attributes, themes)
+    by_category = ~F.col("granularity").isin(SECTOR_ROW, TOTAL_ROW)
+    weights = (
+        lookup_join(mentions, listed, ["theme"], spread_by="GKGRECORDID")
         .withColumns({f"_{a}": F.when(by_category, F.col(a)) for a in attributes})
-        .groupBy("GKGRECORDID", "period", *keys, "sector", "granularity", *[f"_{a}" for a in attributes])
+        .groupBy("GKGRECORDID", "period", *keys, *held, "sector", "granularity", *[f"_{a}" for a in attributes])
         .agg(F.count(F.lit(1)).alias("theme_hits"), *[F.any_value(a, True).alias(a) for a in attributes])
         .withColumn("w", safe_ratio(F.col("theme_hits"), F.col("total_themes_count")))
-        .select("period", *keys, "sector", "granularity", "tone", "tone_bin", "w")
     )
+    if regions is not None:
+        weights = weights.withColumn("region_key", F.explode("region_keys"))
+        keys = (*keys, "region_key")
+    return weights.select("period", *keys, "sector", "granularity", "tone", "tone_bin", "w")
+
+
+def long_indicators(
+    clean: DataFrame,
+    taxonomy: Lookup,
+    keys: tuple[str, ...] = (),
+    regions: Lookup | None = None,
+    totals: bool = False,
+) -> DataFrame:
+    """Category and sector rows with all sums and indicators, from one scan of the articles.
 
-
-def long_indicators(clean: DataFrame, taxonomy: Lookup, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Category and sector rows with all sums and indicators.
-
-    The daily totals hold one row per calendar day (and region of the fixed
-    region map), which bounds the broadcast.
+    The total of a day (and region) is one more row of the same aggregation; it
+    is handed to the others of its day, a row per category. ``totals`` keeps it.
     """
-    weights = article_weights(clean, taxonomy, keys)
-    sums = weights.groupBy("period", *keys, "sector", "granularity").agg(*_weighted_sums(F.col("w")))
-    return with_metrics(sums.join(F.broadcast(daily_totals(clean, keys)), ["period", *keys], "left"))
+    weights = article_weights(clean, taxonomy, keys, regions)
+    keys = ("period", *keys, *(("region_key",) if regions is not None else ()))
+    sums = weights.groupBy(*keys, "sector", "granularity").agg(*_weighted_sums(F.col("w")))
+    is_total = F.col("sector") == TOTAL_ROW
+    total = F.max(F.when(is_total, F.col("N"))).over(Window.partitionBy(*keys))
+    # Articles without a calendar day have no daily total.
+    found = with_metrics(sums.withColumn("total_news", F.when(F.col("period").isNotNull(), total)))
+    return found if totals else found.filter(~is_total)
 
 
 def regional_indicators(clean: DataFrame, taxonomy: Lookup, regions: Lookup) -> DataFrame:
     """Long indicators per region, for tables with unique ids."""
-    return long_indicators(regional_articles(clean, regions), taxonomy, ("region_key",))
+    return long_indicators(clean, taxonomy, regions=regions)
 
 
 def pivot_names(taxonomy: Lookup) -> list[str]:
@@ -232,11 +260,13 @@ def widen(long: DataFrame, keys: list[str], names: list[str], metrics: tuple[str
     return pivoted.select(*keys, *[F.col(f"`{n}_{m}`").alias(f"{m}_{n}") for n in names for m in metrics])
 
 
-def wide_indicators(
-    long: DataFrame, days: DataFrame, names: list[str], metrics: tuple[str, ...] = METRICS
-) -> DataFrame:
-    """One row for every day with articles, matched or not."""
-    return days.select("period").join(widen(long, ["period"], names, metrics), "period", "left")
+def wide_indicators(long: DataFrame, names: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """One row for every day with articles, matched or not.
+
+    ``long`` has its totals: they are the days, so the articles are not read again.
+    """
+    placed = long.withColumns({m: F.when(F.col("period").isNotNull(), F.col(m)) for m in metrics})
+    return widen(placed, ["period"], names, metrics)
 
 
 def wide_geo_indicators(long: DataFrame, names: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:

@@ -11,6 +11,7 @@ from pressgauge.functions import columns as c
 from pressgauge.functions import labels
 from pressgauge.operators import topk
 from pressgauge.operators.lookups import Lookup, lookup_join
+from pressgauge.session import stage
 
 # The probability levels of the quantile reports.
 WORD_LEVELS = (0.001, 0.005, 0.01, 0.02, 0.03, 0.05, 0.10, 0.15, 0.20, 0.25, 0.50, 0.75, 0.90, 0.95, 0.98, 0.99,
@@ -22,20 +23,28 @@ THEME_LEVELS = (0.01, 0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.40, 0.50, 0.75)
 
 # -- Counts per step ---------------------------------------------------------
 
-def funnel(steps: list[tuple[str, DataFrame]], source: str = "Src_ID") -> DataFrame:
-    """Rows, sources and removed rows for each cleaning step."""
-    parts = [
-        df.groupBy(source).agg(F.count(F.lit(1)).alias("n")).agg(
-            F.lit(i).alias("step_no"),
-            F.lit(name).alias("step"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-            F.count(source).alias("sources"),
+def funnel(passed: DataFrame, steps: tuple[str, ...], raw_source: str = "raw_source", source: str = "Src_ID") -> DataFrame:
+    """Rows, sources and removed rows for each cleaning step, from one scan.
+
+    ``passed`` has a flag for each step after the first, which all rows pass;
+    rows are counted by sources and flags, and only those counts go on.
+    """
+    counted = passed.groupBy(raw_source, source, *steps[1:]).agg(F.count(F.lit(1)).alias("n"))
+    rows = [
+        F.struct(
+            F.lit(i).alias("step_no"), F.lit(name).alias("step"), (F.lit(True) if i == 1 else F.col(name)).alias("in"),
+            F.col(raw_source if i == 1 else source).alias("source"), "n",
         )
-        for i, (name, df) in enumerate(steps, start=1)
+        for i, name in enumerate(steps, start=1)
     ]
-    united = parts[0]
-    for part in parts[1:]:
-        united = united.unionByName(part)
+    per_source = (
+        counted.select(F.inline(F.array(*rows)))
+        .groupBy("step_no", "step", "source")
+        .agg(F.sum(F.when(F.col("in"), F.col("n"))).alias("n"))
+    )
+    united = per_source.groupBy("step_no", "step").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.when(F.col("n").isNotNull(), F.col("source"))).alias("sources")
+    )
     # A handful of rows, one per step.
     first = F.max(F.when(F.col("step_no") == 1, F.col("rows"))).over(Window.partitionBy(F.lit(1)))
     return united.withColumn("removed", first - F.col("rows"))
@@ -374,26 +383,35 @@ def theme_shares(articles: DataFrame, k: int = 20) -> DataFrame:
     """Monthly share of articles naming each of the ``k`` biggest themes.
 
     An article votes once per theme. The votes are counted per month and
-    theme; the ranking is the sum of those counts.
+    theme, in one scan that opens the themes once; the articles of a month
+    are counted in it as one more theme, which none can have because themes
+    are split at it. These counts, a row per month and theme, are stored: the
+    ranking and the shares follow from them.
     """
     month = c.month_text(F.col("DATE")).alias("month")
+    whole = F.lit(";")
     named = F.filter(c.pieces(F.col("EnhancedThemes")), lambda p: p != "")
-    themes = F.transform(named, lambda p: c.raw_theme_key(F.trim(p)))
+    themes = F.array_distinct(F.transform(named, lambda p: c.raw_theme_key(F.trim(p))))
+    themes = F.concat(F.coalesce(themes, F.array().cast("array<string>")), F.array(whole))
     votes = (
         # Repeats go inside the row; the shuffle only meets copies of an id.
-        articles.select("GKGRECORDID", month, F.explode(F.array_distinct(themes)).alias("theme"))
-        .distinct()
+        articles.select("GKGRECORDID", month, F.explode(themes).alias("theme"))
+        .groupBy("GKGRECORDID", "month", "theme")
+        .agg(F.count("GKGRECORDID").alias("copies"))
         .groupBy("month", "theme")
-        .agg(F.count(F.lit(1)).alias("votes"))
+        .agg(F.count(F.lit(1)).alias("votes"), F.sum("copies").alias("articles"))
     )
-    totals = articles.groupBy(month).agg(F.count("GKGRECORDID").alias("total"))
-    ranking = votes.groupBy("theme").agg(F.sum("votes").alias("all_votes"))
+    votes = stage(votes, "theme-votes")
+    is_theme = F.col("theme") != whole
+    ranking = votes.filter(is_theme).groupBy("theme").agg(F.sum("votes").alias("all_votes"))
     top = ranking.orderBy(F.desc("all_votes"), "theme").limit(k).select("theme")
-    # k themes; one total per calendar month.
+    # Only months that are dates: at most 120,000 rows.
+    months = votes.filter(~is_theme & F.col("month").rlike("^[0-9]{4}-[0-9]{2}$")).select("month", F.col("articles").alias("total"))
+    # k themes.
     return (
-        votes.join(F.broadcast(top), "theme", "left_semi")
-        .join(F.broadcast(totals), "month")
-        .filter(F.length("month") == 7)
+        votes.filter(is_theme)
+        .join(F.broadcast(top), "theme", "left_semi")
+        .join(months, "month")
         .select("month", "theme", (c.safe_ratio(F.col("votes"), F.col("total")) * 100).alias("pct_articles"))
     )
 

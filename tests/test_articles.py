@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pressgauge.functions import columns as c
 from pressgauge.functions import labels
-from pressgauge.operators import cleaning, graph
+from pressgauge.operators import cleaning, graph, profiling
 from pressgauge.operators import indicators as ind
 from pressgauge.operators import substring
 from pressgauge.operators.lookups import lookup_join, measure
@@ -135,8 +135,8 @@ def test_regions_in_place_equal_the_join_when_ids_are_unique(spark):
 
 def test_wide_table_keeps_days_without_match(spark):
     clean = clean_rows(spark, {}, {"GKGRECORDID": "id2", "DATE": "20200102120000", "EnhancedThemes": "Z,1;Y,2"})
-    long = ind.long_indicators(clean, taxonomy(spark))
-    wide = ind.wide_indicators(long, ind.daily_totals(clean), ind.pivot_names(taxonomy(spark)))
+    long = ind.long_indicators(clean, taxonomy(spark), totals=True)
+    wide = ind.wide_indicators(long, ind.pivot_names(taxonomy(spark)))
     rows = {str(r["period"]): r for r in wide.collect()}
     assert rows["2020-01-01"]["att_s_c"] == 1.0 and rows["2020-01-02"]["att_s_c"] is None
 
@@ -168,6 +168,42 @@ def test_cooccurrence_multiplies_repeats(spark):
     assert got == {("A", "B"): 3, ("A", "C"): 2, ("B", "C"): 1}
 
 
+def scans(df):
+    """Scans of the final plan, and its text."""
+    df.write.format("noop").mode("overwrite").save()
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return sum(line.split("+- ")[-1].split(":- ")[-1].strip().startswith("Relation") for line in text.splitlines()), text
+
+
+def stored(spark, tmp_path):
+    rows = [{"GKGRECORDID": f"i{n}", "EnhancedThemes": "A,1;B,2;A,3", "EnhancedLocations": "1#A#FR"} for n in range(4)]
+    articles(spark, *rows).write.parquet(str(tmp_path / "a"))
+    return spark.read.parquet(str(tmp_path / "a"))
+
+
+def test_cooccurrence_sorts_no_themes_in_the_scan(spark, tmp_path):
+    read, plan = scans(graph.cooccurrence(stored(spark, tmp_path), 0))
+    assert read == 1
+    assert not any("array_sort" in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_indicators_read_the_articles_once(spark, tmp_path):
+    clean = cleaning.to_clean(stored(spark, tmp_path).withColumn("Src_ID", F.lit(1)))
+    regions = measure(spark.createDataFrame([("eu", "FR"), ("eu", "DE"), ("us", "US")], "region_key string, country_code string"))
+    long = ind.long_indicators(clean, taxonomy(spark), totals=True)
+    assert scans(long)[0] == 1
+    assert scans(ind.wide_indicators(long, ["s", "s_c"]))[0] == 1
+    assert scans(ind.regional_indicators(clean, taxonomy(spark), regions))[0] == 1
+    got = ind.regional_indicators(clean, taxonomy(spark), regions).collect()
+    assert {(r["region_key"], r["total_news"]) for r in got} == {("eu", 4)}
+
+
+def test_funnel_reads_the_articles_once(spark, tmp_path):
+    kept = measure(spark.createDataFrame([(1,)], "Src_ID int"))
+    steps = cleaning.passed_steps(stored(spark, tmp_path), dictionary(spark), kept)
+    assert scans(profiling.funnel(steps, cleaning.STEPS))[0] == 1
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("x", "y"), ("y", "z")]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(chain, "src string, dst string")).collect()}
