@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressgauge.catalogue.feature_queries import feature_table
+from pressgauge.catalogue.indicator_queries import NAMES, SERIES
 from pressgauge.catalogue.profile_queries import final
 from pressgauge.catalogue.registry import r6, register, rounded
-from pressgauge.catalogue.series_queries import MONTHLY_NAMES, REGION, filled_days, panel
+from pressgauge.catalogue.series_queries import MONTHLY_NAMES, REGION, filled_days, panel, zscore_sql
 from pressgauge.catalogue.sql import add, query
 from pressgauge.catalogue.sql import r6 as sql6
 from pressgauge.operators import cleaning, clusters, features, graph, regression
@@ -219,11 +220,58 @@ def full_panel(t):
     return runs.monthly_panel(t.regional_indicators, t.macro, "att", names), names
 
 
+def competing_sets(names):
+    return {p: [n for n in names if n.startswith(f"{p}_")] for p in MONTHLY_NAMES}
+
+
+def stored_full_panel(t):
+    if "_full_panel" not in t.__dict__:
+        wide, names = full_panel(t)
+        t.__dict__["_full_panel"] = stage_lookup(wide, "full-panel").frame, names
+    return t.__dict__["_full_panel"]
+
+
+# Every competing set aligned alone: its rows, and sums of target and shifted features.
+SETS = {"sectors": list(MONTHLY_NAMES)} | competing_sets(NAMES)
+SET_LAGS = (-2, 0, 3)
+add("full_attention", ("geo_indicators",), "SELECT region_key, CAST(date_trunc('month', period) AS DATE) AS month, " + ", ".join(
+    f"avg({n}) AS {n}" for n in NAMES) + " FROM (SELECT period, region_key, " + ", ".join(
+    f"max(att) FILTER (sector = '{s}' AND granularity = '{c or ind.SECTOR_ROW}') AS {n}" for (s, c), n in zip(SERIES, NAMES, strict=True)
+) + " FROM geo_indicators GROUP BY 1, 2) GROUP BY 1, 2")
+add("full_panel", ("full_attention", "macro_yoy"), """
+    SELECT z.*, macro_yoy FROM (SELECT region_key, period, """ + ", ".join(f"{zscore_sql(n)} AS {n}" for n in NAMES) + """ FROM (
+      SELECT region_key, CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) AS period
+      FROM (SELECT region_key, min(month) AS a, max(month) AS b FROM full_attention GROUP BY 1))
+      LEFT JOIN (SELECT * RENAME (month AS period) FROM full_attention) USING (region_key, period)) z
+    JOIN macro_yoy USING (region_key, period) WHERE macro_yoy IS NOT NULL""")
+
+
+@register(
+    "rg04_set_alignment",
+    query(
+        " UNION ALL ".join(
+            f"SELECT region_key, '{model}' AS model, CAST({lag} AS INTEGER) AS lag, count(*) AS n_rows, {sql6('sum(macro_yoy)')} AS sum_y, "
+            f"{sql6('sum(x)')} AS sum_x FROM (SELECT region_key, macro_yoy, {shifted(' + '.join(features), lag)} AS x FROM full_panel WHERE "
+            + " AND ".join(f"{n} IS NOT NULL" for n in features) + ") WHERE x IS NOT NULL GROUP BY 1"
+            for model, features in SETS.items() for lag in SET_LAGS
+        ),
+        "full_panel",
+    ),
+)
+def set_alignment(t):
+    stored, names = stored_full_panel(t)
+    sets = {"sectors": list(MONTHLY_NAMES)} | competing_sets(names)
+    rows = regression.design_rows(stored, sets, TARGET, REGION, "period", list(SET_LAGS), False)
+    sums = rows.groupBy(*REGION, "model", "lag").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("y").alias("sum_y"), F.sum(F.aggregate("x", F.lit(0.0), lambda a, v: a + v)).alias("sum_x")
+    )
+    return rounded(sums, "sum_y", "sum_x")
+
+
 @register("rg04_hierarchical_selection")
 def hierarchical_selection(t):
-    wide, names = full_panel(t)
-    children = {p: [n for n in names if n.startswith(f"{p}_")] for p in MONTHLY_NAMES}
-    stored = stage_lookup(wide, "full-panel").frame
+    stored, names = stored_full_panel(t)
+    children = competing_sets(names)
     return regression.hierarchical_selection(stored, list(MONTHLY_NAMES), children, TARGET, REGION, "period", LAGS)
 
 

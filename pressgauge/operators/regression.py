@@ -40,7 +40,7 @@ def lagged_design(
 
 
 def design_rows(
-    aligned: DataFrame,
+    panel: DataFrame,
     models: Models,
     target: str,
     keys: list[str],
@@ -50,28 +50,38 @@ def design_rows(
 ) -> DataFrame:
     """One row per (key, model, lag, period): ``x`` and ``y``.
 
-    With ``inertia`` a model of a positive lag also gets the target's own past
-    as its last feature.
+    Each model is aligned alone: its rows are those in which the target and all
+    its own features are present, and lags count such rows. A sparse series
+    only changes the models that hold it. All models are one plan with one
+    window, whatever their number. With ``inertia`` a model of a positive lag
+    also gets the target's own past as its last feature.
     """
-    names = list(dict.fromkeys(n for features in models.values() for n in features))
-    window = Window.partitionBy(*keys).orderBy(time)
-    shifted = {f"_{i}_{k}": F.lag(F.col(f"`{n}`"), lag).over(window) for i, n in enumerate([*names, target]) for k, lag in enumerate(lags)}
-    wide = aligned.select(*keys, time, F.col(target).alias("y"), *[v.alias(k) for k, v in shifted.items()])
-    place = {n: i for i, n in enumerate([*names, target])}
+    sets = [
+        F.struct(
+            F.lit(model).alias("model"),
+            F.array(*[F.lit(n) for n in features]).alias("_names"),
+            F.array(*[F.col(f"`{n}`").cast("double") for n in features]).alias("_v"),
+        )
+        for model, features in models.items()
+    ]
+    rows = panel.select(*keys, time, F.col(target).alias("y"), F.inline(F.array(*sets)))
+    rows = rows.filter(F.col("y").isNotNull() & F.forall("_v", lambda v: v.isNotNull()))
+    window = Window.partitionBy(*keys, "model").orderBy(time)
+    now = F.struct(F.col("_v").alias("v"), F.col("y").cast("double").alias("y"))
+    rows = rows.select("*", *[F.lag(now, lag).over(window).alias(f"_{k}") for k, lag in enumerate(lags)])
     entries = []
-    for model, features in models.items():
-        for k, lag in enumerate(lags):
-            used = [*features, *([target] if inertia and lag > 0 else [])]
-            entries.append(
-                F.struct(
-                    F.lit(model).alias("model"),
-                    F.lit(lag).alias("lag"),
-                    F.array(*[F.lit(INERTIA if n == target else n) for n in used]).alias("features"),
-                    F.array(*[F.col(f"_{place[n]}_{k}").cast("double") for n in used]).alias("x"),
-                )
+    for k, lag in enumerate(lags):
+        past = inertia and lag > 0
+        entries.append(
+            F.struct(
+                F.lit(lag).alias("lag"),
+                (F.concat("_names", F.array(F.lit(INERTIA))) if past else F.col("_names")).alias("features"),
+                (F.concat(f"_{k}.v", F.array(f"_{k}.y")) if past else F.col(f"_{k}.v")).alias("x"),
             )
-    rows = wide.select(*keys, time, "y", F.inline(F.array(*entries)))
-    return rows.filter(F.col("y").isNotNull() & F.forall("x", lambda v: v.isNotNull()))
+        )
+    return rows.select(*keys, time, "model", "y", F.inline(F.array(*entries))).filter(F.col("x").isNotNull()).select(
+        *keys, time, "y", "model", "lag", "features", "x"
+    )
 
 
 def with_folds(rows: DataFrame, group: list[str], time: str, test_ratio: float = 0.0, folds: int = FOLDS) -> DataFrame:
@@ -397,7 +407,7 @@ def isolated_winners(
 
 
 def hierarchical_selection(
-    aligned: DataFrame,
+    panel: DataFrame,
     sectors: list[str],
     children: Models,
     target: str,
@@ -411,9 +421,9 @@ def hierarchical_selection(
     Sectors compete first. Those significant at a positive lag pass; their
     sub-categories are fitted among themselves and the largest significant
     leading one per sector is kept. A sector without sub-categories stands
-    for itself. The result is the ``keep`` largest per key.
+    for itself. Each competing set is aligned alone. The result is the ``keep`` largest per key.
     """
-    first = lasso_fits(design_rows(aligned, {"sectors": sectors}, target, keys, time, lags), keys, time)
+    first = lasso_fits(design_rows(panel, {"sectors": sectors}, target, keys, time, lags), keys, time)
     passed = significant(first).groupBy(*keys, F.col("feature").alias("parent")).agg(F.max(F.abs("coef")).alias("abs_coef"))
     nested = {s: c for s, c in children.items() if c}
     own = passed.filter(~F.col("parent").isin(list(nested))).select(
@@ -422,7 +432,7 @@ def hierarchical_selection(
     if not nested:
         found = own
     else:
-        inner = design_rows(aligned, nested, target, keys, time, lags)
+        inner = design_rows(panel, nested, target, keys, time, lags)
         chosen = passed.select(*keys, F.col("parent").alias("model"))
         # Sectors and keys are configuration-sized; no hint is needed.
         fits = significant(lasso_fits(inner.join(chosen, [*keys, "model"], "left_semi"), keys, time))

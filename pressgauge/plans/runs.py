@@ -64,11 +64,12 @@ def source_run(
 def monthly_panel(
     long: DataFrame, macro: DataFrame, metric: str, names: list[str], window: int = 12
 ) -> DataFrame:
-    """Aligned monthly panel per region: z-scores of the series and macro change.
+    """Monthly panel per region: z-scores of the series and macro change.
 
     ``long`` has regional indicators, ``macro`` (region_key, period, value);
-    ``names`` are the wide series names without the metric. Months in which
-    any series lacks a full window are dropped.
+    ``names`` are the wide series names without the metric. A month stays if
+    the macro change is known; a series without a full window is NULL in it,
+    and the regressions align each set of series alone.
     """
     keys = ["region_key"]
     wide = ind.wide_geo_indicators(long, names, (metric,))
@@ -85,7 +86,7 @@ def monthly_panel(
     change = macro.select(
         *keys, "period", series.change_percent(F.col("value"), keys, "period").alias("macro_yoy")
     )
-    return series.align(scores, change, [*keys, "period"])
+    return scores.join(change.filter(F.col("macro_yoy").isNotNull()), [*keys, "period"])
 
 
 def regional_report(panel: DataFrame, names: list[str], max_lag: int = 6, min_rows: int = 20) -> dict[str, DataFrame]:
@@ -97,6 +98,7 @@ def regional_report(panel: DataFrame, names: list[str], max_lag: int = 6, min_ro
         "macro_yoy",
         F.inline(F.array(*[F.struct(F.lit(n).alias("series"), F.col(f"`{n}`").alias("x")) for n in names])),
     )
+    tall = tall.filter(F.col("x").isNotNull())
     leads = series.lag_correlations(tall, "x", "macro_yoy", ["region_key", "series"], "period", range(1, max_lag + 1))
     best = series.best_predictor(leads, keys, "series")
     rows = regression.design_rows(panel, {"all": names}, "macro_yoy", keys, "period", lags)

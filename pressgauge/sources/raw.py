@@ -43,7 +43,7 @@ def text_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def zip_lines(spark: SparkSession, path: str) -> DataFrame:
+def zip_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The same for zip archives, which Spark does not read itself.
 
     Archives are distributed over the tasks; each is streamed line by line in

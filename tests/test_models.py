@@ -121,6 +121,22 @@ def test_hierarchical_selection(planted):
     assert best == {"A": "energy_coal", "B": "energy_coal"}
 
 
+def test_a_sparse_series_changes_only_its_own_models(planted):
+    """Every other value of one series is missing: models without it keep all their rows, its own align alone."""
+    sparse = planted.withColumn("rare", F.when(F.col("t") % 2 == 0, F.col("noise")))
+    models = {"plain": ["signal", "noise"], "with": ["signal", "rare"]}
+    key = ["region_key", "t", "model", "lag", "y", "x"]
+    got = regression.design_rows(sparse, models, "y", ["region_key"], "t", [-1, 0, 2]).select(key)
+    whole = regression.design_rows(planted, {"plain": models["plain"]}, "y", ["region_key"], "t", [-1, 0, 2]).select(key)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(got.filter("model = 'plain'")) == rows(whole)
+    data = planted.filter("region_key = 'A' and t % 2 = 0").orderBy("t").toPandas()
+    mine = got.filter("model = 'with' and region_key = 'A' and lag = 2").orderBy("t").toPandas()
+    assert mine["t"].tolist() == data["t"].tolist()[2:]
+    want = np.column_stack([data["signal"], data["noise"], data["y"]])[:-2]
+    assert np.allclose(np.array(mine["x"].tolist()), want)
+
+
 def test_isolated_winners_lead_jointly(planted):
     """A noisy copy of the signal leads alone, but not beside the signal."""
     wide = planted.withColumn("copy", F.col("signal") + F.col("noise"))

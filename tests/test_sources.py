@@ -2,6 +2,7 @@
 
 import gzip
 import math
+import sys
 import zipfile
 
 import pytest
@@ -175,18 +176,56 @@ def test_zip_stream(spark, tmp_path):
     assert articles.count() == 2 and names.count() == 1
 
 
-def test_ingest_run_takes_a_month_once(spark, tmp_path):
-    from pressgauge.plans.ingest import ingest_run
+def test_ingest_run_takes_a_file_once(spark, tmp_path):
+    from pressgauge.plans.ingest import ingest_run, ingested
 
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw" / "1.csv").write_text("\n".join([record(1), record(1), record(2, name="b.org")]))
     places = [str(tmp_path / p) for p in ("raw", "articles", "dictionary")]
+    assert ingested(spark, places[1]) is None
     assert ingest_run(spark, *places).count() == 2
     assert ingest_run(spark, *places).count() == 0
-    stored = spark.read.parquet(places[1])
+    stored = ingested(spark, places[1])
     assert stored.count() == 2 and {(r["year"], r["month"]) for r in stored.collect()} == {(2020, 1)}
 
 
+def test_ingest_run_loses_and_doubles_nothing(spark, tmp_path, monkeypatch):
+    """Bad dates and a stored month in every run, a zip file, and a run killed before its end."""
+    from pressgauge.plans import ingest as plan
+
+    (tmp_path / "raw").mkdir()
+    places = [str(tmp_path / p) for p in ("raw", "articles", "dictionary")]
+
+    def give(name, *ids):
+        rows = [record(i, name=f"n{i}.org") for i in ids] + [record(100 + ids[0]).replace("2020010", "bad", 1)]
+        if name.endswith(".zip"):
+            with zipfile.ZipFile(tmp_path / "raw" / name, "w") as archive:
+                archive.writestr("x.csv", "\n".join(rows))
+        else:
+            (tmp_path / "raw" / name).write_text("\n".join(rows))
+
+    def ids():
+        return sorted(r["GKGRECORDID"] for r in plan.ingested(spark, places[1]).collect())
+
+    give("1.csv", 1, 2)
+    plan.ingest_run(spark, *places)
+    first = ids()
+    assert len(first) == 3
+    give("2.csv", 3)
+    give("3.zip", 4, 5)
+    with monkeypatch.context() as broken:  # killed after the articles, before the ledger
+        broken.setattr(plan, "ledger_of", lambda path: (_ for _ in ()).throw(RuntimeError()) if sys._getframe(1).f_code.co_name == "ingest_run" else path.rstrip("/") + ".files")
+        with pytest.raises(RuntimeError):
+            plan.ingest_run(spark, *places)
+    assert ids() == first
+    plan.ingest_run(spark, *places)
+    assert len(ids()) == 8 and len(set(ids())) == 8
+    names = spark.read.parquet(places[2])
+    assert names.count() == names.select("SourceCommonName_ID").distinct().count() == names.select("SourceCommonName").distinct().count()
+    months = {(r["year"], r["month"]) for r in plan.ingested(spark, places[1]).select("year", "month").distinct().collect()}
+    assert len(months) > 1
+
+
 def test_large_dictionary_moves_only_nameless_articles(spark, monkeypatch):
     from pressgauge.operators import cleaning
     from pressgauge.operators.lookups import Lookup
