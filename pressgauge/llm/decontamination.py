@@ -163,7 +163,8 @@ dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w
 docs AS (SELECT doc_id, [array_to_string(w[i:i+4], chr(1)) for i in range(1, len(w) - 3)] AS s FROM dw WHERE len(w) >= 5),
 de AS (SELECT doc_id, unnest(s) AS sh, generate_subscripts(s, 1) - 1 AS p FROM docs),
 ie AS (SELECT item_id, n, unnest(s) AS sh, generate_subscripts(s, 1) - 1 AS p FROM items),
-win AS (SELECT DISTINCT de.doc_id, ie.item_id, ie.n, de.p - ie.p AS a FROM de JOIN ie USING (sh)),
+hit AS (SELECT DISTINCT de.doc_id, ie.item_id, ie.n, de.p FROM de JOIN ie USING (sh)),
+win AS (SELECT DISTINCT doc_id, item_id, n, unnest(generate_series(p - (n - 5), p)) AS a FROM hit),
 wc AS (
   SELECT win.doc_id, win.item_id, win.n, win.a, de.sh, count(*) AS c FROM win JOIN de
   ON de.doc_id = win.doc_id AND de.p >= win.a AND de.p < win.a + win.n - 4 GROUP BY ALL),
@@ -172,9 +173,9 @@ j AS (
   SELECT wc.doc_id, wc.item_id, wc.n, wc.a, sum(wc.c) AS wt, sum(least(wc.c, coalesce(ic.c, 0))) AS shared
   FROM wc LEFT JOIN ic ON wc.item_id = ic.item_id AND wc.sh = ic.sh GROUP BY ALL),
 good AS (SELECT *, wt + (n - 4) - shared AS total FROM j WHERE 100 * shared >= 80 * (wt + (n - 4) - shared))
-SELECT doc_id, item_id, CAST(max_by(greatest(a, 0), (shared / total, -a)) AS BIGINT) AS first_word,
-  CAST(max_by(shared, (shared / total, -a)) AS BIGINT) AS shared,
-  CAST(max_by(total, (shared / total, -a)) AS BIGINT) AS total
+SELECT doc_id, item_id, CAST(max_by(greatest(a, 0), (shared / total, -greatest(a, 0), shared, total)) AS BIGINT) AS first_word,
+  CAST(max_by(shared, (shared / total, -greatest(a, 0), shared, total)) AS BIGINT) AS shared,
+  CAST(max_by(total, (shared / total, -greatest(a, 0), shared, total)) AS BIGINT) AS total
 FROM good GROUP BY doc_id, item_id
 """
 

@@ -1,8 +1,9 @@
 """Near-duplicate lines by a deletion-neighbourhood join.
 
-Lines are ``\\n``-split. Lines of at least ``shortest`` code points are judged:
-one is removed if an earlier line, by (doc_id, line number), equals it or is
-one edit (a character inserted, deleted or replaced) away. Others stay.
+Lines are ``\\n``-split. A line that holds a word is removed if an earlier line,
+by (doc_id, line number), equals it, or, among lines of at least ``shortest``
+code points, is one edit (a character inserted, deleted or replaced) away.
+Others stay.
 
 1. Equal lines are one line, which stands where it first occurs. Its later
    occurrences go.
@@ -15,6 +16,8 @@ one edit (a character inserted, deleted or replaced) away. Others stay.
    the other line. Two lines one replacement apart: equal variants of the same
    place, and so are all lines that have these; each is joined to the earliest.
    Either way a line gets one pair for each of its keys at most.
+   Candidate lines are numbered in their order, so keys need no places beside the
+   numbers, and one shuffle of the keys serves for the leaders and their pairs.
 4. The edit distance of each pair is verified, and its later line goes.
 
 Keys have 64 bits, a line's identity 128; they are made from the characters by
@@ -57,7 +60,7 @@ _INVERSE = np.uint64(pow(int(powers(2)[1]), -1, 1 << 64))
 
 
 def _line_keys(texts: pa.Array, shortest: int) -> Iterator[tuple]:
-    """(text, line number, two hashes, four half keys) of the lines of at least ``shortest`` code points.
+    """(text, line number, two hashes, four half keys, whether long) of the lines that hold a word.
 
     Half keys: for two lines of which the shorter has ``m`` characters, one
     edit leaves the first ``m // 2`` or the last ``m - m // 2 - 1`` characters
@@ -84,15 +87,17 @@ def _line_keys(texts: pa.Array, shortest: int) -> Iterator[tuple]:
         text = np.sort(np.concatenate([np.arange(len(begins) - 1), text_of_break]))
         starts, ends = np.sort(starts, kind="stable"), np.sort(ends, kind="stable")
         number = np.arange(len(text)) - np.searchsorted(text, text)
-        long = ends - starts >= shortest
-        text, number, i, j = text[long], number[long], starts[long], ends[long]
+        inside = np.concatenate([[0], np.cumsum((points != 32) & ((points < 9) | (points > 13)))])
+        worded = inside[ends] > inside[starts]
+        text, number, i, j = text[worded], number[worded], starts[worded], ends[worded]
         n = (j - i).astype(np.uint64)
         keys = []
         for m in (n - np.uint64(1), n):
             half = (m // np.uint64(2)).astype(np.int64)
+            rest = np.maximum(m.astype(np.int64) - half - 1, 0)
             keys.append(mixed(head(i, i + half) ^ (m << np.uint64(40)), 101))
-            keys.append(mixed(tail(j - (m.astype(np.int64) - half - 1), j) ^ (m << np.uint64(40)), 102))
-        yield text + row, number, mixed(head(i, j) ^ n, 1), mixed(tail(i, j) ^ n, 2), *keys
+            keys.append(mixed(tail(j - rest, j) ^ (m << np.uint64(40)), 102))
+        yield text + row, number, mixed(head(i, j) ^ n, 1), mixed(tail(i, j) ^ n, 2), *keys, j - i >= shortest
 
 
 LINES = "doc_id long, text_key long, line_no int, h1 long, h2 long, a0 long, a1 long, b0 long, b1 long"
@@ -101,11 +106,12 @@ LINES = "doc_id long, text_key long, line_no int, h1 long, h2 long, a0 long, a1
 def _read_lines(shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, number, *keys in _line_keys(batch.column(2), shortest):
+            for text, number, h1, h2, *halves, long in _line_keys(batch.column(2), shortest):
                 at = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(number.astype(np.int32)),
-                     *(pa.array(k.view(_SIGNED)) for k in keys)],
+                     *(pa.array(k.view(_SIGNED)) for k in (h1, h2)),
+                     *(pa.array(k.view(_SIGNED), mask=~long) for k in halves)],
                     names=["doc_id", "text_key", "line_no", "h1", "h2", "a0", "a1", "b0", "b1"],
                 )
 
@@ -186,40 +192,36 @@ def repeated_lines(documents: DataFrame, shortest: int = 20) -> DataFrame:
     )
     distinct = stage(distinct.withColumn("id", F.monotonically_increasing_id()), "lines-distinct")
 
-    halves = distinct.select("id", F.explode(F.array("a0", "a1", "b0", "b1")).alias("key"))
+    halves = distinct.select("id", F.explode(F.array("a0", "a1", "b0", "b1")).alias("key")).filter("key is not null")
     common = halves.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a != b").select("key")
     may = halves.join(common, "key").select("id").distinct()
-    may = stage(distinct.join(may, "id").select("id", "at.*"), "lines-may")
+    may = distinct.join(may, "id").select("at", "h1", "h2").repartitionByRange("at").sortWithinPartitions("at")
+    # Tasks and rows in them are in order, and so are these numbers: an earlier line has a smaller one.
+    may = stage(may.withColumn("id", F.monotonically_increasing_id()), "lines-may")
     # Only texts with such a line are moved, told by a filter of fixed size.
-    wanted = spark.sparkContext.broadcast(id_bits(may))
+    wanted = spark.sparkContext.broadcast(id_bits(may.select("at.doc_id")))
     texts = docs.mapInArrow(_texts_with(wanted), docs.schema)
     same = F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t.text_key") == F.col("f.text_key"))
-    numbers = may.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line_no", "id")).alias("wanted"))
+    numbers = may.groupBy("at.doc_id", "at.text_key").agg(F.collect_list(F.struct("at.line_no", "id")).alias("wanted"))
     some = texts.alias("t").join(numbers.alias("f"), same).select(F.split("t.text", "\n").alias("l"), F.explode("f.wanted").alias("x"))
     some = some.select("x.id", F.get("l", F.col("x.line_no")).alias("line")).dropDuplicates(["id"])
     some = stage(some, "lines-candidates")
 
-    order = distinct.select("id", "at")
-    keys = stage(some.mapInArrow(_keyed(_variants), KEYS), "lines-variants")
-
-    def of(kind: int) -> DataFrame:
-        return keys.filter(F.col("kind") == kind)
-
-    inserted = of(WHOLE).select("key", F.col("id").alias("a")).join(of(DELETED).select("key", F.col("id").alias("b")), "key")
-    placed = of(PLACED).join(order, "id").select("key", "id", "at")
-    lead = placed.groupBy("key").agg(F.min(F.struct("at", "id")).alias("x"), F.max(F.struct("at", "id")).alias("y"))
-    lead = lead.filter("x.id != y.id").select("key", F.col("x.id").alias("a"))
-    replaced = placed.join(lead, "key").filter("id != a").select("a", F.col("id").alias("b"))
-    pairs = inserted.select("a", "b").unionByName(replaced).distinct()
-    known = some.join(order, "id").select("id", "at", "line")
-    known = stage(known, "lines-known")
-    whole = pairs.join(known.toDF("a", "at_a", "line_a"), "a").join(known.toDF("b", "at_b", "line_b"), "b")
-    near = whole.filter(F.levenshtein("line_a", "line_b", 1).between(0, 1))
-    near = near.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
-    near = stage(near, "lines-near")
+    # One shuffle: leaders and pairs both read the keys as they are dealt here.
+    keys = some.mapInArrow(_keyed(_variants), KEYS).repartition("key")
+    heads = keys.groupBy("key").agg(
+        F.min("id").alias("a"), F.max("id").alias("b"), F.max(F.when(F.col("kind") == WHOLE, F.col("id"))).alias("whole")
+    ).filter("a != b")
+    heads = keys.join(heads.select("key", "a", "whole"), "key")
+    pairs = heads.select(F.when(F.col("kind") == PLACED, F.col("a")).when(F.col("kind") == DELETED, F.col("whole")).alias("x"), "id")
+    pairs = pairs.filter("x is not null and x != id").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b"))
+    pairs = stage(pairs.distinct(), "lines-pairs")
+    whole = pairs.join(some.toDF("a", "line_a"), "a").join(some.toDF("b", "line_b"), "b")
+    near = whole.filter(F.levenshtein("line_a", "line_b", 1).between(0, 1)).select(F.col("b").alias("id")).distinct()
+    near = stage(near.join(may, "id").select("h1", "h2"), "lines-near")
 
     # What a line's occurrences have to know: all go, or all but the first.
-    rules = distinct.join(near.withColumn("gone", F.lit(True)), "id", "left").filter("gone or k > 1")
+    rules = distinct.join(near.withColumn("gone", F.lit(True)), ["h1", "h2"], "left").filter("gone or k > 1")
     rules = rules.select("h1", "h2", F.when(F.col("gone"), F.lit(None)).otherwise(F.col("at")).alias("keep"))
     # A frequent line is found in many documents: its rule is copied, its occurrences dealt by document.
     salted = rules.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))

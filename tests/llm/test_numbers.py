@@ -82,9 +82,10 @@ def test_lines_one_edit_apart_share_a_key(line, at, letter, kind):
     (a, p), (b, q) = lines._variants(line), lines._variants(other)
     shared = [{int(k) for k in x[y == kind]} for x, y in ((a, p), (b, q)) for kind in (lines.WHOLE, lines.DELETED, lines.PLACED)]
     assert line == other or (shared[0] & shared[4] or shared[1] & shared[3] or shared[2] & shared[5])
-    found = [np.stack(x[4:]) for x in lines._line_keys(pa.array([f"ü\n{line}\n", f"{other}"]), 2)]
+    *_, a0, a1, b0, b1, long = next(lines._line_keys(pa.array([f"ü\n \n{line}\n", f"{other}"]), 2))
+    assert len(long) == 3 - (not other) and not long[0]  # lines without a word are not judged
     if len(line) > 1 and len(other) > 1:
-        mine = found[0].T
+        mine = np.stack([a0, a1, b0, b1])[:, long].T
         assert len(mine) == 2 and set(mine[0].tolist()) & set(mine[1].tolist())
 
 
