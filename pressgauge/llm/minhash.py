@@ -54,7 +54,7 @@ CHUNKS, WIDE = 12, 4
 SLOTS = CHUNKS * WIDE
 RADIUS = 2 * CHUNKS - 1
 CELLS = 2048
-BLOCK = 512
+BLOCK = 2048
 ROUNDS = 1
 
 _SIGNED = np.int64

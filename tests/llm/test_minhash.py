@@ -81,7 +81,7 @@ def test_signatures_estimate_the_similarity():
     assert abs(np.mean(apart) - 0.2 * minhash.SLOTS) < 1 and max(apart) <= minhash.RADIUS
 
 
-@pytest.mark.parametrize("block", [512, 4])
+@pytest.mark.parametrize("block", [2048, 4])
 def test_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(7)
