@@ -151,9 +151,9 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
         & F.col("l.source").eqNullSafe(F.col("r.source"))
         & (F.xxhash64("l.text") == F.col("r.text_key")),
     )
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("r.copies").cast("int")))).select(
-        *[F.col(f"l.`{n}`") for n in names]
-    )
+    # The row is one column while it is repeated: no name of a helper can clash with its columns.
+    whole = F.struct(*[F.col(f"l.`{n}`") for n in names]).alias("row")
+    return joined.select(whole, F.explode(F.sequence(F.lit(1), F.col("r.copies").cast("int")))).select("row.*")
 
 
 OP8_SQL = r"""

@@ -387,6 +387,12 @@ def test_mix_of_odd_rows(odd, odd_rows, none):
     assert written.count() == got.copies.sum()
 
 
+def test_mix_of_a_column_named_like_a_helper(spark):
+    docs = table(spark, [(i, "one two three", "a") for i in range(6)]).withColumn("_copy", F.lit(1)).withColumn("row", F.lit("x"))
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns and {(r["_copy"], r["row"]) for r in got.collect()} == {(1, "x")}
+
+
 def test_mix_meets_its_targets(spark):
     rng = random.Random(10)
     rows = [(i, prose(rng, rng.randint(1, 40)), rng.choice("abcd")) for i in range(600)]
