@@ -16,7 +16,8 @@ text contains ``<|`` and the change can be undone.
 Defined results: a null role or text is the empty string; rows of equal turn
 are ordered by role and text, repeated rows stay; a null turn comes first; a
 null ``conv_id`` is a conversation of its own; an empty table gives no rows;
-other columns are ignored.
+very long texts are rendered whole, one turn in memory at a time beside its
+batch; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressgauge.llm.common import query, table
+from pressgauge.llm.common import query, stage, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 _PLAIN, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<(\\*)\\\|")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 FLUSH = 4 << 20
+SPANS = ("context_chars", "target_start", "target_end")
 
 FORMATTED = pa.schema([
     ("conv_id", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("rendered", pa.string()),
@@ -158,6 +160,7 @@ DIGEST_DDL = (
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns in order, each followed by the example whose target it holds."""
     current, state = object(), None
     done: list[tuple] = []
 
@@ -165,21 +168,28 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, turns, loss_chars, loss, chars = state
         return current, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars
 
+    seq, start, begin, rendered = -1, 0, 0, ""
     for batch in batches:
         for row in batch.to_pylist():
             if row["conv_id"] != current:
                 if state:
                     done.append(closed())
                 current, state = row["conv_id"], [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            rendered = row["rendered"]
-            role, body = _TURN.fullmatch(rendered).groups()
-            state[0] += 1
-            state[1].update(f"{_role_back(role)}\n{unescape(body)}\n".encode())
-            if row["trainable"]:
-                shift = row["start"]
-                target = unescape(rendered[row["target_start"] - shift : row["target_end"] - shift])
+                seq, rendered = -1, ""
+            if row["rendered"] is None:
+                # The context is all that was read before this turn, and its head.
+                end = start + len(rendered) - len(END) - 1
+                if (row["seq"], row["context_chars"], row["target_start"], row["target_end"]) != (seq, begin, begin, end):
+                    raise ValueError(f"an example of conversation {current} does not fit its turn {row['seq']}")
+                target = unescape(rendered[row["target_start"] - start : row["target_end"] - start])
                 state[2] += len(target)
                 state[3].update(target.encode())
+                continue
+            seq, start, rendered = row["seq"], state[4], row["rendered"]
+            turn = _TURN.fullmatch(rendered)
+            begin = start + turn.start(2)
+            state[0] += 1
+            state[1].update(f"{_role_back(turn[1])}\n{unescape(turn[2])}\n".encode())
             state[4] += len(rendered)
         if done:
             yield _written(done, DIGEST)
@@ -188,9 +198,20 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _written([closed()], DIGEST)
 
 
-def digests(rows: DataFrame) -> DataFrame:
-    """Per conversation, read back from ``formatted``: turns, text under the loss mask and length."""
-    return rows.mapInArrow(_read_back, DIGEST_DDL)
+def digests(rows: DataFrame, made: DataFrame | None = None) -> DataFrame:
+    """Per conversation: turns and length of the rendering, text under the loss masks of its examples.
+
+    ``rows`` are stored once; the examples ``made`` of them (by ``examples``, if none are given) are dealt to the
+    renderings they name and streamed behind the turn that holds their target.
+    An example whose context is not the whole rendering before its target is an error.
+    """
+    stored = stage(rows, "chat-turns")
+    turns = stored.select("conv_id", "seq", "rendered", *[F.lit(None).cast("long").alias(n) for n in SPANS])
+    made = examples(stored) if made is None else made
+    targets = made.select("conv_id", F.col("target_seq").alias("seq"), F.lit(None).cast("string").alias("rendered"), *SPANS)
+    dealt = turns.unionByName(targets).repartition("conv_id")
+    ordered = dealt.sortWithinPartitions("conv_id", "seq", F.col("rendered").isNull())
+    return ordered.mapInArrow(_read_back, DIGEST_DDL)
 
 
 CONTROL = f"{END}{START}assistant ok"
