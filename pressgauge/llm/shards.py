@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressgauge.llm.common import query, stage, table
@@ -180,6 +180,16 @@ def _assembled(tokenizer: Tokenizer, length: int, per_shard: int, n: int, folder
     return run
 
 
+def _located(spark: SparkSession, folder: str) -> str:
+    """``folder`` with its scheme; where it names none, that of the default file system, as for Spark's own tables."""
+    if "://" in folder:
+        return folder
+    if folder.startswith("file:"):
+        return f"file://{folder.removeprefix('file:')}"
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return f"{default.removesuffix('/')}{folder}"
+
+
 def shards(
     documents: DataFrame,
     tokenizer: Tokenizer = Tokenizer(),
@@ -196,7 +206,7 @@ def shards(
     """
     spark = documents.sparkSession
     folder = folder or fresh_path(spark, "token-shards")
-    folder = folder if "://" in folder else f"file://{folder.removeprefix('file:')}"
+    folder = _located(spark, folder)
     ids = stage(
         documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
             _tokenized(tokenizer), "task long, at long, doc_id long, n long, ids binary"

@@ -241,6 +241,20 @@ def test_chat_examples_hold_every_prefix(spark):
     assert chat.digests(chat.formatted(given.limit(0))).count() == 0
 
 
+def test_chat_losses_come_from_the_examples(spark):
+    long = "w<|" * 200_000
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", long), (1, 2, "user", long), (1, 3, "assistant", "end")]
+    rows = chat.formatted(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    made = chat.examples(rows)
+    (one,) = rows_of(chat.digests(rows, made.filter("target_seq = 3")))
+    assert (one["n_turns"], one["loss_chars"]) == (4, 3)
+    (both,) = rows_of(chat.digests(rows))
+    assert both["loss_sha256"] == hashlib.sha256(f"{long}end".encode()).hexdigest()
+    for broken in ("context_chars", "target_end"):
+        with pytest.raises(Exception, match="does not fit its turn"):
+            chat.digests(rows, made.withColumn(broken, F.col(broken) - 1)).collect()
+
+
 # -- 6 Decontamination -----------------------------------------------------------------
 
 def test_leaks(spark, odd, none):
@@ -414,6 +428,12 @@ def test_mix_meets_its_targets(spark):
 
 # -- 9 Shards ---------------------------------------------------------------------------
 
+def test_shards_go_to_the_default_file_system(spark):
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").removesuffix("/")
+    assert shards._located(spark, "/a/b") == f"{default}/a/b"
+    assert shards._located(spark, "file:/a") == "file:///a" and shards._located(spark, "s3a://x/a") == "s3a://x/a"
+
+
 def test_shards_round_trip(odd, odd_rows, none, tmp_path):
     tokenizer = shards.Tokenizer()
     got = shards.shards(odd, tokenizer, length=64, per_shard=100, key=3, folder=str(tmp_path / "out")).toPandas()
