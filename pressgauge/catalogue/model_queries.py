@@ -204,6 +204,72 @@ def lasso_per_lag(t):
     return regression.lasso_fits(rows_of(t, inertia=False), REGION, "period", 15)
 
 
+# Rows and features follow from the panel; that every fit is the optimum of its penalty is measured from the rows.
+@register(
+    "rg03_lasso_certificates",
+    query(
+        " UNION ALL ".join(
+            f"""SELECT region_key, CAST({lag} AS INTEGER) AS lag, count(*) AS n_rows, CAST({len(MONTHLY_NAMES)} AS BIGINT) AS n_features, true AS optimal
+            FROM (SELECT region_key, {shifted('macro_yoy', lag)} AS past FROM panel WHERE {' AND '.join(f'{n} IS NOT NULL' for n in MONTHLY_NAMES)})
+            WHERE past IS NOT NULL GROUP BY 1 HAVING count(*) >= 15"""
+            for lag in LAGS
+        ),
+        "panel",
+    ),
+)
+def lasso_certificates(t):
+    rows = rows_of(t, inertia=False)
+    proofs = regression.lasso_certificates(rows, regression.lasso_fits(rows, REGION, "period", 15), REGION)
+    return proofs.select("region_key", "lag", "n_rows", "n_features", (F.col("breach") < 1e-6).alias("optimal"))
+
+
+# A model of one series has a closed form: the whole cross-validation and the p-value are plain SQL.
+SINGLE_LAGS = [0, 1, 2, 3]
+add("single_rows", ("panel",), "SELECT *, row_number() OVER (PARTITION BY region_key, model, lag ORDER BY period) - 1 AS i, "
+    "count(*) OVER (PARTITION BY region_key, model, lag) AS n FROM (" + " UNION ALL ".join(
+        f"SELECT region_key, period, '{n}' AS model, CAST({lag} AS INTEGER) AS lag, macro_yoy AS y, {shifted(n, lag)} AS x FROM panel WHERE {n} IS NOT NULL"
+        for n in MONTHLY_NAMES for lag in SINGLE_LAGS) + ") WHERE x IS NOT NULL")
+FIT = "region_key, model, lag"
+SUMS = ", ".join(f"sum({v}) AS {a}" for v, a in (("1.0::DOUBLE", "c"), ("x", "sx"), ("y", "sy"), ("x * x", "sxx"), ("x * y", "sxy"), ("y * y", "syy")))
+
+
+@register(
+    "rg03_single_series_lasso",
+    query(
+        f"""SELECT {FIT}, n AS n_rows, {sql6('alpha')} AS alpha, {sql6('w')} AS coef,
+        {sql6('CASE WHEN w = 0 THEN 1.0 ELSE tail END')} AS p_value FROM chosen JOIN tails USING ({FIT})""",
+        "single_rows",
+        parts=f"""SELECT {FIT}, n, fold, {SUMS} FROM (SELECT *, CASE WHEN i < (n % 5) * (n // 5 + 1) THEN i // (n // 5 + 1)
+          ELSE n % 5 + (i - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM single_rows WHERE n >= 20) GROUP BY ALL""",
+        whole=f"""SELECT *, CASE WHEN d < 1e-12 THEN 1.0 ELSE d END AS s FROM (
+          SELECT {FIT}, n, sum(c) AS tc, sum(sx) AS tx, sum(sy) AS ty, sum(sxx) AS txx, sum(sxy) AS txy, sum(syy) AS tyy, sum(sx) / sum(c) AS m,
+          sqrt(greatest(sum(sxx) / sum(c) - (sum(sx) / sum(c)) ** 2, 0)) AS d FROM parts GROUP BY ALL)""",
+        penalties=f"""SELECT {FIT}, k, abs((txy / tc - m * ty / tc) / s) * power(10.0, -3.0 * k / 99) AS alpha
+          FROM whole, (SELECT unnest(range(100)) AS k)""",
+        without=f"""SELECT {FIT}, fold, c, sx, sy, sxx, sxy, syy, m, s, (tx - sx) / (tc - c) AS ox, (ty - sy) / (tc - c) AS oy,
+          ((txx - sxx) / (tc - c) - ((tx - sx) / (tc - c)) ** 2) / (s * s) AS xx,
+          ((txy - sxy) / (tc - c) - (tx - sx) / (tc - c) * (ty - sy) / (tc - c)) / s AS xy FROM parts JOIN whole USING ({FIT})""",
+        weighted=f"""SELECT *, CASE WHEN xx > 1e-12 THEN sign(xy) * greatest(abs(xy) - alpha, 0) / xx ELSE 0 END / s AS b
+          FROM without JOIN penalties USING ({FIT})""",
+        errors=f"""SELECT {FIT}, k, alpha, avg((syy - 2 * a * sy - 2 * b * sxy + a * a * c + 2 * a * b * sx + b * b * sxx) / c) AS e
+          FROM (SELECT *, oy - b * ox AS a FROM weighted) GROUP BY ALL""",
+        chosen=f"""SELECT w.*, alpha, sign(xy) * greatest(abs(xy) - alpha, 0) / greatest(xx, 1e-12) AS w FROM (
+            SELECT *, (txy / tc - m * ty / tc) / s AS xy, (txx / tc - m * m) / (s * s) AS xx FROM whole) w
+          JOIN (SELECT {FIT}, arg_min(alpha, (round(e, 12), k)) AS alpha FROM errors GROUP BY ALL) USING ({FIT})""",
+        # Student's t tail by Simpson's rule over the angle atan(t / sqrt(df)).
+        slopes=f"""SELECT {FIT}, n - 2 AS df, atan(abs(b) / sqrt(greatest((tyy - ty * ty / tc) / vx - b * b, 1e-300))) AS low FROM (
+            SELECT *, (txy - tx * ty / tc) / (txx - tx * tx / tc) AS b, txx - tx * tx / tc AS vx FROM whole)""",
+        tails=f"""SELECT {FIT}, sum(f * (pi() / 2 - low) * cos(low + (pi() / 2 - low) * j / 400) ** (df - 1))
+            / sum(f * pi() / 2 * cos(pi() / 2 * j / 400) ** (df - 1)) AS tail
+          FROM slopes, (SELECT j, CASE WHEN j IN (0, 400) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END AS f FROM (SELECT unnest(range(401)) AS j)) GROUP BY ALL""",
+    ),
+)
+def single_series_lasso(t):
+    rows = rows_of(t, {n: [n] for n in MONTHLY_NAMES}, SINGLE_LAGS, False)
+    fits = regression.lasso_fits(rows, REGION, "period").drop("feature")
+    return rounded(fits, "alpha", "coef", "p_value")
+
+
 @register("rg03_lasso_with_inertia")
 def lasso_with_inertia(t):
     return regression.lasso_fits(rows_of(t), REGION, "period")
@@ -329,6 +395,24 @@ def rolling_ridge(t):
     return regression.rolling_ridge(rows_of(t, lags=[1]), len(MONTHLY_NAMES) + 1, REGION, "period")
 
 
+# With one series the ridge coefficient is a ratio of window sums.
+@register(
+    "rg08_single_series_ridge",
+    query(
+        f"""SELECT {FIT}, period, {sql6('(sxy - sx * sy / 48) / s / ((sxx - sx * sx / 48) / (s * s) + 1)')} AS coef FROM (
+          SELECT *, CASE WHEN d < 1e-12 THEN 1.0 ELSE d END AS s FROM (
+            SELECT *, sqrt(greatest(sxx / 48 - (sx / 48) ** 2, 0)) AS d FROM (
+              SELECT {FIT}, period, {SUMS.replace(') AS', ') OVER w AS')}, lead(y) OVER (PARTITION BY {FIT} ORDER BY period) AS later
+              FROM single_rows WHERE lag = 1 WINDOW w AS (PARTITION BY {FIT} ORDER BY period ROWS BETWEEN 47 PRECEDING AND CURRENT ROW))
+            WHERE c = 48 AND later IS NOT NULL))""",
+        "single_rows",
+    ),
+)
+def single_series_ridge(t):
+    rows = rows_of(t, {n: [n] for n in MONTHLY_NAMES}, [1], False)
+    return rounded(regression.rolling_ridge(rows, 1, REGION, "period").drop("feature"), "coef")
+
+
 @register("ts06_partial_autocorrelation")
 def partial_autocorrelation(t):
     return regression.partial_autocorrelation(filled_days(t), "y", [], "day")

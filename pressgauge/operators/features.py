@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressgauge.functions import columns as c
+from pressgauge.session import stage
 
 FEATURES = (
     "years_active",
@@ -223,12 +224,16 @@ def economic_share(articles: DataFrame, wide: bool = False) -> DataFrame:
 
 
 def source_features(articles: DataFrame, population: str = "is_wiki") -> DataFrame:
-    """The feature table; ``population`` (0/1) is a column of the articles."""
+    """The feature table; ``population`` (0/1) is a column of the articles.
+
+    Both aggregations of the articles are stored, because each is read twice
+    with other columns: the articles are scanned once for each of them.
+    """
     keys = ("Src_ID", population)
-    daily = daily_activity(articles, keys)
+    daily = stage(daily_activity(articles, keys), "source-days")
     base = base_stats(daily, keys)
     temporal = temporal_stats(daily, keys).drop("total_articles")
-    entropy = theme_entropy(theme_frequencies(articles, keys), population)
+    entropy = theme_entropy(stage(theme_frequencies(articles, keys), "source-themes"), population)
     filled = {x: F.coalesce(x, F.lit(0.0)) for x in ("ratio_eco", "h_norm_themes", "h_norm_eco_themes")}
     joined = base.join(temporal, list(keys)).join(entropy, list(keys), "left").withColumns(filled)
     return joined.withColumn(

@@ -254,6 +254,47 @@ def lasso_fits(rows: DataFrame, keys: list[str], time: str, min_rows: int = 20)
     return _spread(sums, [*group, "features"]).applyInPandas(solve, schema)
 
 
+def lasso_certificates(rows: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
+    """How far each fit of ``lasso_fits`` is from the optimum of its penalty.
+
+    Computed from the rows and the weights alone, without the sums and the
+    solver. At the optimum the mean product g of a scaled feature and the
+    residual equals the penalty, with the weight's sign, where the weight is
+    not 0, and stays within the penalty elsewhere. ``breach`` is the largest
+    excess over that, as a part of the largest g of the empty model. Returns
+    (keys, model, lag, n_rows, n_features, n_active, alpha, breach).
+    """
+    group = [*keys, "model", "lag"]
+    tall = rows.select(*group, "y", "features", F.posexplode("x").alias("j", "v"))
+    moments = tall.groupBy(*group, "j", F.col("features")[F.col("j")].alias("feature")).agg(
+        F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.avg("y").alias("mean_y")
+    )
+    spread = F.when(F.col("s") < 1e-12, 1.0).otherwise(F.col("s")).alias("s")
+    fitted = moments.join(fits.select(*group, "feature", "coef", "alpha"), [*group, "feature"])
+    # One array per fit, as long as its feature list.
+    solved = fitted.groupBy(*group, "alpha", "mean_y").agg(
+        F.array_sort(F.collect_list(F.struct("j", "m", spread, F.col("coef").alias("w")))).alias("_fit")
+    )
+    z = F.zip_with("x", "_fit", lambda x, f: (x - f["m"]) / f["s"])
+    joined = rows.join(solved, group).select(*group, "alpha", "_fit", (F.col("y") - F.col("mean_y")).alias("_y"), z.alias("_z"))
+    explained = F.aggregate(F.zip_with("_z", "_fit", lambda z, f: z * f["w"]), F.lit(0.0), lambda a, b: a + b)
+    products = joined.select(*group, "alpha", "_fit", "_y", "_z", (F.col("_y") - explained).alias("_r")).select(
+        *group, "alpha", "_y", "_r", F.inline(F.arrays_zip(F.col("_fit.w").alias("w"), F.col("_fit.j").alias("j"), F.col("_z").alias("z")))
+    )
+    slopes = products.groupBy(*group, "alpha", "j", "w").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg(F.col("z") * F.col("_r")).alias("g"), F.abs(F.avg(F.col("z") * F.col("_y"))).alias("top")
+    )
+    excess = F.when(F.col("w") == 0, F.greatest(F.abs("g") - F.col("alpha"), F.lit(0.0))).otherwise(
+        F.abs(F.col("g") - F.col("alpha") * F.signum("w"))
+    )
+    return slopes.groupBy(*group, "alpha").agg(
+        F.max("n_rows").alias("n_rows"),
+        F.count(F.lit(1)).alias("n_features"),
+        F.count_if(F.col("w") != 0).alias("n_active"),
+        F.coalesce(safe_ratio(F.max(excess), F.max("top")), F.lit(0.0)).alias("breach"),
+    )
+
+
 def hold_out_errors(
     rows: DataFrame, keys: list[str], time: str, test_ratio: float = 0.25, min_rows: int = 20
 ) -> DataFrame:
@@ -325,21 +366,18 @@ def rolling_ridge(
     kept = full.filter((F.col("_n") == window) & F.col("_next").isNotNull()).select(*group, time, "features", "sums")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        upper = tuple(np.array(pairs).T)
+        above, below = np.array(pairs).T
         for batch in batches:
-            out = []
-            for sums_row in batch["sums"]:
-                g = np.zeros((m, m))
-                g[upper] = sums_row
-                g = np.triu(g) + np.triu(g, 1).T
-                n = g[0, 0]
-                mean = g[0, 1:-1] / n
-                spread = np.sqrt(np.maximum(np.diag(g)[1:-1] / n - mean**2, 0.0))
-                spread[spread < 1e-12] = 1.0
-                _, _, _, xx, xy = _centred(g, mean, spread)
-                out.append(np.linalg.solve(xx * n + alpha * np.eye(n_features), xy * n))
-            flat = batch.drop(columns="sums").assign(coef=[list(w) for w in out])
-            yield flat
+            # All windows of a batch at once: (windows, m, m) sums of products.
+            g = np.zeros((len(batch), m, m))
+            g[:, above, below] = g[:, below, above] = np.array(batch["sums"].tolist()).reshape(len(batch), len(pairs))
+            n, x, y = g[:, 0, 0, None], g[:, 0, 1:-1], g[:, 0, -1, None]
+            spread = np.sqrt(np.maximum(np.einsum("bii->bi", g)[:, 1:-1] / n - (x / n) ** 2, 0.0))
+            spread[spread < 1e-12] = 1.0
+            xx = (g[:, 1:-1, 1:-1] - x[:, :, None] * x[:, None] / n[..., None]) / (spread[:, :, None] * spread[:, None])
+            xy = (g[:, 1:-1, -1] - x * y / n) / spread
+            out = np.linalg.solve(xx + alpha * np.eye(n_features), xy[..., None])[..., 0]
+            yield batch.drop(columns="sums").assign(coef=list(out))
 
     types = dict(rows.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in group], f"`{time}` {types[time]}", "features array<string>, coef array<double>"])
