@@ -98,6 +98,59 @@ def single_cluster_cost(t):
     return rounded(clusters.total_deviation(vectors, vectors.columns), "inertia")
 
 
+# K-means from given centres is repeatable, so SQL can follow it round by round.
+def nearest_sql(name, table="vectors"):
+    return f"""SELECT vec_id, arg_min(label, (d, label)) AS label, min(d) AS d FROM (
+      SELECT v.vec_id, c.label, sum((v.x - c.x) * (v.x - c.x)) AS d FROM {table} v JOIN {name} c USING (i) GROUP BY ALL) GROUP BY 1"""
+
+
+ROUNDS = 2
+LLOYD = {"vectors": "SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings WHERE label IS NOT NULL"}
+LLOYD["centres_0"] = "SELECT label, i, avg(x) AS x FROM vectors GROUP BY ALL"
+for _round in range(ROUNDS + 1):
+    LLOYD[f"near_{_round}"] = nearest_sql(f"centres_{_round}")
+    if _round < ROUNDS:
+        LLOYD[f"centres_{_round + 1}"] = (
+            f"SELECT n.label, i, avg(x) AS x FROM vectors v JOIN near_{_round} n USING (vec_id) GROUP BY ALL"
+        )
+
+
+def labelled_vectors(t):
+    vectors = t.read("embeddings").filter("label IS NOT NULL")
+    return vectors.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(DIMENSIONS)])
+
+
+@register(
+    "ml04_nearest_centres",
+    query(
+        f"""SELECT vec_id, CAST(number AS INTEGER) AS cluster, {sql6('d')} AS distance FROM near_{ROUNDS} JOIN (
+        SELECT label, row_number() OVER (ORDER BY min(vec_id)) - 1 AS number FROM near_{ROUNDS} GROUP BY 1) USING (label)""", **LLOYD,
+    ),
+)
+def nearest_centres(t):
+    vectors = labelled_vectors(t)
+    refined = clusters.refined(vectors, DIMENSIONS, clusters.centres(vectors, DIMENSIONS, "label"), ROUNDS, "label")
+    near = clusters.nearest(vectors.drop("label"), DIMENSIONS, refined, "label").select("vec_id", F.col("label").alias("cluster"), "distance")
+    return rounded(clusters.numbered_by_member(near, "vec_id"), "distance")
+
+
+@register(
+    "ml05_cost_by_round",
+    query(
+        " UNION ALL ".join(f"SELECT CAST({r} AS INTEGER) AS round, {sql6('avg(d)')} AS mean_cost FROM near_{r}" for r in range(ROUNDS + 1)),
+        **LLOYD,
+    ),
+)
+def cost_by_round(t):
+    vectors = labelled_vectors(t)
+    given, rows = clusters.centres(vectors, DIMENSIONS, "label"), None
+    for r in range(ROUNDS + 1):
+        one = clusters.nearest(vectors.drop("label"), DIMENSIONS, given, "label").agg(F.lit(r).alias("round"), F.avg("distance").alias("mean_cost"))
+        rows = one if rows is None else rows.unionByName(one)
+        given = clusters.refined(vectors, DIMENSIONS, given, 1, "label") if r < ROUNDS else given
+    return rounded(rows, "mean_cost")
+
+
 @register("ml06_projected_labels")
 def projected_labels(t):
     table, scale, model = fitted(t)

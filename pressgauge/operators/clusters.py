@@ -8,13 +8,15 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressgauge.functions.columns import safe_ratio
+from pressgauge.operators import profiling
 from pressgauge.operators.lookups import Lookup
-from pressgauge.operators.profiling import exact_quantiles, with_source_name
+from pressgauge.operators.profiling import with_source_name
 from pressgauge.operators.topk import draw_per_group, first_per_group
+from pressgauge.session import stage
 
 
 @dataclass(frozen=True)
@@ -32,8 +34,9 @@ def finite(value: Column) -> Column:
 
 
 def medians(features: DataFrame, names: list[str]) -> DataFrame:
-    """One row with the exact median of every feature."""
-    return features.agg(*[F.median(finite(F.col(n).cast("double"))).alias(n) for n in names])
+    """One row with the exact median of every feature, stored."""
+    values = features.select(*[finite(F.col(n).cast("double")).alias(n) for n in names])
+    return stage(profiling.medians_by(values, names, []), "medians")
 
 
 def filled_with_median(features: DataFrame, names: list[str]) -> DataFrame:
@@ -54,12 +57,12 @@ def standard_scale(features: DataFrame, names: list[str]) -> Scale:
 
 def robust_scale(features: DataFrame, names: list[str]) -> Scale:
     """Median and interquartile range."""
-    parts = [F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(n) for n in names]
-    row = features.agg(*parts).select(
-        *[F.col(n)[1].alias(f"c_{n}") for n in names],
-        *[(F.col(n)[2] - F.col(n)[0]).alias(f"s_{n}") for n in names],
-    ).first()
-    return _scale(row, names)
+    summary = profiling.six_numbers(features, names)
+    # One row per feature.
+    row = {}
+    for r in summary.select("measure", "median", (F.col("q3") - F.col("q1")).alias("width")).collect():
+        row |= {f"c_{r['measure']}": r["median"], f"s_{r['measure']}": r["width"]}
+    return _scale({f"{x}_{n}": row.get(f"{x}_{n}") for n in names for x in "cs"}, names)
 
 
 def _scale(row, names: list[str]) -> Scale:
@@ -95,6 +98,49 @@ def total_deviation(features: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def nearest(features: DataFrame, names: list[str], given: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """Rows with their nearest given centre and the squared ``distance`` to it.
+
+    ``given`` has a row per centre: its label and ``names``. Equal distances go
+    to the smaller label. The centres, as many as clusters, are one array in
+    the plan; the rows are only mapped.
+    """
+    place = F.struct(F.col(cluster).alias("label"), F.array(*[F.col(n).cast("double") for n in names]).alias("at"))
+    centres = given.agg(F.array_sort(F.collect_list(place))).scalar()
+    point = F.array(*[F.col(n).cast("double") for n in names])
+
+    def squared(at: Column) -> Column:
+        return F.aggregate(F.zip_with("_point", at, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+
+    found = F.array_min(F.transform("_centres", lambda x: F.struct(squared(x["at"]).alias("distance"), x["label"].alias("label"))))
+    return (
+        features.withColumns({"_point": point, "_centres": centres})
+        .withColumn("_found", found)
+        .withColumns({cluster: F.col("_found.label"), "distance": F.col("_found.distance")})
+        .drop("_point", "_centres", "_found")
+    )
+
+
+def numbered_by_member(labelled: DataFrame, member: str, cluster: str = "cluster") -> DataFrame:
+    """Labels 0, 1, ... in the order of each cluster's smallest ``member``, whatever they were before."""
+    first = labelled.groupBy(cluster).agg(F.min(member).alias("_first"))
+    # One row per cluster.
+    order = first.select(F.col(cluster), (F.row_number().over(Window.orderBy("_first")) - 1).alias("_number"))
+    joined = labelled.join(order, labelled[cluster].eqNullSafe(order[cluster])).drop(order[cluster])
+    return joined.withColumn(cluster, F.col("_number")).drop("_number")
+
+
+def refined(features: DataFrame, names: list[str], given: DataFrame, rounds: int, cluster: str = "cluster") -> DataFrame:
+    """Centres after ``rounds`` rounds of K-means from the given ones: (cluster, n, names).
+
+    Repeatable, unlike a drawn start. Centres of a round are stored, so a plan
+    never holds more than one round; a centre without rows is dropped.
+    """
+    for _ in range(rounds):
+        given = stage(centres(nearest(features.drop(cluster), names, given, cluster), names, cluster), "centres")
+    return given
+
+
 def sweep(features: DataFrame, names: list[str], ks: range) -> DataFrame:
     """Cost, gain over one cluster and silhouette for each k.
 
@@ -162,9 +208,8 @@ def scaled_centres(model: PipelineModel, names: list[str], scale: Scale) -> Data
 
 def profile(labelled: DataFrame, names: list[str], cluster: str = "cluster") -> DataFrame:
     """Size and exact median of every feature per cluster."""
-    return labelled.groupBy(cluster).agg(
-        F.count(F.lit(1)).alias("n_sources"), *[F.median(n).alias(n) for n in names]
-    )
+    sizes = labelled.groupBy(cluster).agg(F.count(F.lit(1)).alias("n_sources"))
+    return sizes.join(profiling.medians_by(labelled, names, [cluster]), cluster, "left")
 
 
 # The thresholds of the retention rule.
@@ -247,5 +292,5 @@ def measure_percentiles(features: DataFrame, names: list[str], levels: tuple[flo
     tall = features.select(
         F.inline(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("v")) for n in names]))
     )
-    return exact_quantiles(tall, "v", levels, ["measure"])
+    return profiling.selected_quantiles(profiling.value_ranges(tall, "v", ["measure"]), "v", levels, ["measure"])
 

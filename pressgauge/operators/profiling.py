@@ -221,24 +221,86 @@ def exact_quantiles(values: DataFrame, value: str, levels: tuple[float, ...], gr
     )
 
 
+def value_ranges(values: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """Distinct values with their frequency ``_n``, stored in ranges ``_part`` of (group, value)."""
+    counted = values.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = counted.repartitionByRange(*[F.col(g) for g in group], F.col(value))
+    return stage(ranged.withColumn("_part", F.spark_partition_id()), "value-ranges")
+
+
+def selected_quantiles(ranges: DataFrame, value: str, levels: tuple[float, ...], group: list[str]) -> DataFrame:
+    """The rows of ``exact_quantiles`` for continuous values, from ``value_ranges``.
+
+    The frequencies of the ranges say in which of them a wanted rank lies. Only
+    those are sorted, each by itself, so no task holds more values than one
+    range, whatever the size of a group.
+    """
+    parts = ranges.groupBy(*group, "_part").agg(F.sum("_n").alias("_m"), F.min(value).alias("_low"))
+    # One row per group and range.
+    whole = Window.partitionBy(*(group or [F.lit(0)]))
+    earlier = whole.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *group, "_part", "_m", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_before"), F.sum("_m").over(whole).alias("_all")
+    )
+    wanted = F.array(*[
+        F.struct(F.lit(x).alias("level"), (F.lit(x) * (F.col("_all") - 1)).alias("at")) for x in levels
+    ])
+
+    def holds(w: Column, first: Column, n: Column) -> Column:
+        return (F.ceil(w["at"]) >= first) & (F.floor(w["at"]) < first + n)
+
+    parts = parts.withColumn("_wanted", F.filter(wanted, lambda w: holds(w, F.col("_before"), F.col("_m"))))
+    inside = ranges.join(parts.filter(F.size("_wanted") > 0), [*group, "_part"])
+    upto = Window.partitionBy(*group, "_part").orderBy(value)
+    placed = inside.withColumn("_first", F.col("_before") + F.sum("_n").over(upto) - F.col("_n"))
+    mine = F.filter("_wanted", lambda w: holds(w, F.col("_first"), F.col("_n")))
+    picked = placed.select(*group, F.col(value).alias("_v"), "_first", (F.col("_first") + F.col("_n")).alias("_end"), F.inline(mine))
+
+    def at_rank(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_first")) & (rank < F.col("_end")), F.col("_v").cast("double")))
+
+    low, high = F.floor("at"), F.ceil("at")
+    ends = picked.groupBy(*group, "level", "at").agg(at_rank(low).alias("_a"), at_rank(high).alias("_b"))
+    between = F.when(low == high, F.col("_a")).otherwise(
+        (high - F.col("at")) * F.col("_a") + (F.col("at") - low) * F.col("_b")
+    )
+    return ends.select(*group, "level", between.alias("value"))
+
+
+def level_columns(quantiles: DataFrame, named: dict[str, float], group: list[str]) -> DataFrame:
+    """Quantile rows as one row per group, a column per level."""
+    return quantiles.groupBy(*group).agg(*[F.max(F.when(F.col("level") == x, F.col("value"))).alias(n) for n, x in named.items()])
+
+
+def medians_by(values: DataFrame, names: list[str], group: list[str]) -> DataFrame:
+    """Exact medians of continuous columns, one row per group."""
+    keys = [*group, "measure"]
+    middle = selected_quantiles(value_ranges(_tall(values, names, group), "_v", keys), "_v", (0.5,), keys)
+    return middle.groupBy(*group).agg(*[F.max(F.when(F.col("measure") == n, F.col("value"))).alias(n) for n in names])
+
+
 def _tall(values: DataFrame, names: list[str], group: list[str]) -> DataFrame:
     entries = [F.struct(F.lit(n).alias("measure"), F.col(n).cast("double").alias("_v")) for n in names]
     return values.select(*group, F.inline(F.array(*entries))).filter(F.col("_v").isNotNull())
 
 
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
 def six_numbers(values: DataFrame, names: list[str], group: list[str] = []) -> DataFrame:
     """count, min, quartiles, mean and max of several columns, one row each."""
-    tall = _tall(values, names, group)
-    counted = tall.groupBy(*group, "measure", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    return counted.groupBy(*group, "measure").agg(
+    keys = [*group, "measure"]
+    ranges = value_ranges(_tall(values, names, group), "_v", keys)
+    sums = ranges.groupBy(*keys).agg(
         F.sum("_n").alias("n"),
         F.min("_v").alias("minimum"),
-        F.percentile("_v", 0.25, F.col("_n")).alias("q1"),
-        F.percentile("_v", 0.5, F.col("_n")).alias("median"),
         c.safe_ratio(F.sum(F.col("_v") * F.col("_n")), F.sum("_n")).alias("mean"),
-        F.percentile("_v", 0.75, F.col("_n")).alias("q3"),
         F.max("_v").alias("maximum"),
     )
+    quartiles = selected_quantiles(ranges, "_v", tuple(QUARTILES.values()), keys)
+    return sums.join(level_columns(quartiles, QUARTILES, keys), keys).select(
+        *keys, "n", "minimum", "q1", "median", "mean", "q3", "maximum"
+    )
 
 
 def box_summary(values: DataFrame, names: list[str], group: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pressgauge.functions import columns as c
 from pressgauge.functions import labels
-from pressgauge.operators import cleaning, graph, profiling
+from pressgauge.operators import cleaning, features, graph, profiling
 from pressgauge.operators import indicators as ind
 from pressgauge.operators import substring
 from pressgauge.operators.lookups import lookup_join, measure
@@ -204,6 +204,39 @@ def test_funnel_reads_the_articles_once(spark, tmp_path):
     assert scans(profiling.funnel(steps, cleaning.STEPS))[0] == 1
 
 
+def test_source_features_read_the_articles_twice(spark, tmp_path):
+    """Once for the days, once for the themes; what follows reads only stored sums."""
+    table = stored(spark, tmp_path).withColumns({"Src_ID": F.lit(1), "is_wiki": F.lit(0)})
+    result = features.source_features(table)
+    assert str(tmp_path) not in scans(result)[1] and not any(str(tmp_path) in f for f in result.inputFiles())
+    assert [(r["total_articles"], r["mean_themes_per_art"]) for r in result.collect()] == [(4, 2.0)]
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_selected_quantiles_equal_the_plain_ones(spark, partitions):
+    """One group holds most rows and one value most of these; groups of one and of equal values, and nulls."""
+    rows = [("big", float(n * n % 501) / 7) for n in range(3000)] + [("big", 1.5)] * 4000
+    rows += [("one", 3.0), ("same", 2.0), ("same", 2.0), ("two", 1.0), ("two", 2.0), ("none", None)]
+    values = spark.createDataFrame(rows, "g string, v double")
+    levels = (0.0, 0.01, 0.25, 0.5, 0.75, 0.999, 1.0)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    settings = {"spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        ranges = profiling.value_ranges(values, "v", ["g"])
+        got = profiling.selected_quantiles(ranges, "v", levels, ["g"]).collect()
+        alone = profiling.selected_quantiles(profiling.value_ranges(values, "v", []), "v", (0.5,), []).collect()
+        assert ranges.filter("g = 'big'").select("_part").distinct().count() == min(int(partitions), 7)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = profiling.exact_quantiles(values, "v", levels, ["g"]).collect()
+    key = lambda r: (r["g"], r["level"])
+    assert {key(r): pytest.approx(r["value"]) for r in want} == {key(r): r["value"] for r in got}
+    assert len(got) == len(want) == 28 and alone[0]["value"] == 1.5
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("x", "y"), ("y", "z")]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(chain, "src string, dst string")).collect()}

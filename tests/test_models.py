@@ -86,6 +86,15 @@ def test_hold_out_matches_brute_force(planted):
     assert got["rmse_full"] < got["rmse_naive"] / 2 and got["n_test"] == len(data) - cut
 
 
+def test_certificates_tell_optimal_fits_from_others(planted):
+    rows, result = fits(planted)
+    proofs = regression.lasso_certificates(rows, result, ["region_key"]).toPandas()
+    assert len(proofs) == 8 and (proofs["n_features"] == 3).all() and (proofs["breach"] < 1e-6).all()
+    worse = result.withColumn("coef", F.when(F.col("feature") == "signal", F.col("coef") + 0.01).otherwise(F.col("coef")))
+    breach = regression.lasso_certificates(rows, worse, ["region_key"]).toPandas()["breach"]
+    assert (breach > 1e-4).all()
+
+
 def test_rolling_ridge_matches_brute_force(planted):
     rows = regression.design_rows(planted, {"all": ["signal", "noise"]}, "y", ["region_key"], "t", [2]).filter("region_key = 'A'")
     got = regression.rolling_ridge(rows, 3, ["region_key"], "t", 48).toPandas()
