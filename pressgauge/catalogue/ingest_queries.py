@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pressgauge.catalogue.feature_queries import feature_table
+from pressgauge.catalogue.feature_queries import REAL, feature_table
 from pressgauge.catalogue.model_queries import stored_panel
-from pressgauge.catalogue.registry import r6, register, rounded
+from pressgauge.catalogue.registry import ORACLES, r6, register, rounded
 from pressgauge.catalogue.series_queries import MONTHLY_NAMES
 from pressgauge.catalogue.sql import HOST, add, query
 from pressgauge.catalogue.sql import r6 as sql6
@@ -513,3 +513,54 @@ def geo_run(t):
 def regional_report(t):
     report = runs.regional_report(stored_panel(t), list(MONTHLY_NAMES))
     return report["best"].join(report["forecast"].drop("lag"), "region_key")
+
+
+# -- Runs that store their tables --------------------------------------------
+
+
+def output_paths(t):
+    return runs.OutputPaths(fresh_path(t.spark, "output"))
+
+
+@register(
+    "api02_stored_sector_run",
+    query(f"SELECT sector, CAST(year(period) AS INTEGER) AS year, period, granularity, N, {sql6('att')} AS att FROM indicators "
+          "WHERE sector IN ('goods', 'scale')", "indicators"),
+)
+def stored_sector_run(t):
+    output = output_paths(t)
+    for sector in ("goods", "scale"):
+        runs.stored_indicators(t.gkg, t.dictionary, t.taxonomy, output, sectors=[sector])
+    table = t.spark.read.parquet(output.sectors)
+    return rounded(table.select("sector", "year", "period", "granularity", "N", "att"), "att")
+
+
+@register(
+    "api03_stored_geo_run",
+    query(f"SELECT sector, CAST(year(period) AS INTEGER) AS year, period, region_key, granularity, N, {sql6('att')} AS att "
+          "FROM geo_indicators WHERE sector = 'scale'", "geo_indicators"),
+)
+def stored_geo_run(t):
+    output = output_paths(t)
+    runs.stored_indicators(t.gkg, t.dictionary, t.taxonomy, output, t.regions, ["scale"], unique_ids=False)
+    table = t.spark.read.parquet(output.regions)
+    return rounded(table.select("sector", "year", "period", "region_key", "granularity", "N", "att"), "att")
+
+
+@register("api05_registry_coverage", ORACLES["ag45_match_coverage"])
+def registry_coverage(t):
+    return rounded(runs.registry_run(t.spark, registry_csv(t), t.dictionary, t.suffixes, output_paths(t)), "rate")
+
+
+@register("api05_registry_domains", query("SELECT * FROM matched_domains", "matched_domains"))
+def registry_domains(t):
+    output = output_paths(t)
+    runs.registry_run(t.spark, registry_csv(t), t.dictionary, t.suffixes, output)
+    return t.spark.read.parquet(output.domains)
+
+
+@register("api06_stored_features", ORACLES["ag33_source_features"])
+def stored_features(t):
+    output = output_paths(t)
+    sinks.write_domains(t.domains.withColumn("region", F.lit("EU")), output.domains)
+    return rounded(runs.stored_features(t.gkg, t.dictionary, output), *REAL)

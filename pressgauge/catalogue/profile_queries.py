@@ -11,11 +11,13 @@ from pressgauge.catalogue.registry import register, rounded
 from pressgauge.catalogue.sql import DAY, add, query
 from pressgauge.catalogue.sql import r6 as sql6
 from pressgauge.operators import cleaning, profiling, topk
+from pressgauge.session import stage
 
 ID = "GKGRECORDID"
 DRAW = "('0x' || substr(md5(CAST({0} AS VARCHAR)), 1, 8))::UBIGINT"
 
 add("activity", ("final",), ACTIVITY.format("final"))
+add("skewed_activity", ("skewed_dated",), ACTIVITY.format("skewed_dated"))
 
 
 def final(t):
@@ -330,6 +332,50 @@ def longevity_buckets(t):
     return rounded(profiling.longevity_buckets(activity(t), t.dictionary), "pct_volume")
 
 
+def skewed_activity(t):
+    """Activity of outlets of very different volume, stored: three results read it."""
+    return stage(cleaning.source_activity(cleaning.with_source(cleaning.dated(t.skewed), t.outlets)), "skewed-activity")
+
+
+@register(
+    "ag41_skewed_volume_buckets",
+    query(
+        f"SELECT {VOLUME_CASE} AS bucket, count(*) AS sources, sum(articles)::BIGINT AS articles_sum, min(articles) AS smallest, "
+        f"{sql6('sum(articles) * 100.0 / (SELECT sum(articles) FROM skewed_activity)')} AS pct_volume FROM skewed_activity GROUP BY 1",
+        "skewed_activity",
+    ).replace("articles_sum", "articles"),
+)
+def skewed_volume_buckets(t):
+    return rounded(profiling.volume_buckets(skewed_activity(t)), "pct_volume")
+
+
+@register(
+    "ag42_skewed_longevity_buckets",
+    query(
+        f"""SELECT bucket, count(*) AS sources, sum(articles)::BIGINT AS articles, min(years) AS sort_order,
+        {sql6('sum(articles) * 100.0 / (SELECT sum(articles) FROM skewed_activity)')} AS pct_volume,
+        string_agg(name, ', ' ORDER BY name) FILTER (draw <= 10) AS examples
+        FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY {DRAW.format('name')}, name) AS draw
+              FROM (SELECT *, 'outlet' || Src_ID || '.example.com' AS name, {LONGEVITY_CASE} AS bucket FROM skewed_activity))
+        WHERE bucket IS NOT NULL GROUP BY bucket""",  # more than 12 years: in no bucket, as the inner join on it says
+        "skewed_activity",
+    ),
+)
+def skewed_longevity_buckets(t):
+    return rounded(profiling.longevity_buckets(skewed_activity(t), t.outlets), "pct_volume")
+
+
+@register(
+    "ag01_skewed_whitelist",
+    query(
+        "SELECT Src_ID FROM skewed_dated GROUP BY 1 HAVING count(*) >= 30 AND count(DISTINCT substr(DATE, 1, 4)) >= 2",
+        "skewed_dated",
+    ),
+)
+def skewed_whitelist(t):
+    return cleaning.global_whitelist(t.skewed, t.outlets)
+
+
 @register(
     "ag43_word_buckets",
     query(

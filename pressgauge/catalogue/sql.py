@@ -43,6 +43,16 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT DISTINCT CAST(c_custkey % 50 + 1 AS INTEGER) AS SourceCommonName_ID,
                'src' || (c_custkey % 50) || '.example.com' AS SourceCommonName
         FROM customer"""),
+    # Outlets of very different volume: the first has a third of all articles.
+    "skewed": ((), """
+        SELECT strftime(moved, '%Y%m%d%H%M%S') || '-' || o_orderkey AS GKGRECORDID,
+               CASE WHEN o_orderkey % 97 = 0 THEN 'bad' ELSE strftime(moved, '%Y%m%d%H%M%S') END AS DATE,
+               outlet AS Src_ID
+        FROM (SELECT o_orderkey, o_orderdate + to_months(CAST(o_orderkey % 2 * 72 AS INTEGER)) AS moved,
+                     CAST(CASE WHEN o_orderkey % 3 = 0 THEN 1
+                          ELSE 2 + floor(o_custkey / pow(2, (o_orderkey // 3) % 12)) END AS INTEGER) AS outlet
+              FROM orders)"""),
+    "skewed_dated": (("skewed",), f"SELECT * FROM skewed WHERE {VALID}"),
     "taxonomy": ((), """
         SELECT DISTINCT * FROM (
           SELECT 'goods' AS sector, split_part(p_name, ' ', 2) AS cat_key, upper(replace(p_name, ' ', '_')) AS theme

@@ -95,6 +95,38 @@ class Tables:
     def gkg(self) -> DataFrame:
         return stage(self.articles_plan(), "articles")
 
+    @cached_property
+    def skewed(self) -> DataFrame:
+        """Articles of outlets whose volume falls like 1 / rank; the first outlet has a third of all rows.
+
+        The number of outlets grows with ``customer``. Every second article is six years younger.
+        """
+        key = F.col("o_orderkey")
+        level = F.floor(key / 3) % 12
+        outlet = F.when(key % 3 == 0, F.lit(1)).otherwise(2 + F.floor(F.col("o_custkey") / F.pow(F.lit(2.0), level)))
+        moved = F.add_months("o_orderdate", (key % 2 * 72).cast("int"))
+        digits = F.date_format(moved, "yyyyMMddHHmmss")
+        return stage(
+            self.read("orders").select(
+                F.concat(digits, F.lit("-"), key).alias("GKGRECORDID"),
+                F.when(key % 97 == 0, "bad").otherwise(digits).alias("DATE"),
+                F.when(key % 20 == 0, F.lit(0)).otherwise(outlet).cast("int").alias("SourceCommonName_ID"),
+                F.concat(F.lit("https://www.outlet"), outlet, F.lit(".example.com/a/"), key).alias("DocumentIdentifier"),
+            ),
+            "skewed-articles",
+        )
+
+    @cached_property
+    def outlets(self) -> Lookup:
+        """Names of the outlets of ``skewed``."""
+        levels = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("level")
+        ids = self.read("customer").select("c_custkey", levels).select(
+            (2 + F.floor(F.col("c_custkey") / F.pow(F.lit(2.0), F.col("level")))).cast("int").alias("id")
+        )
+        ids = ids.unionByName(self.read("customer").select(F.lit(1).alias("id"))).distinct()
+        name = F.concat(F.lit("outlet"), "id", F.lit(".example.com"))
+        return stage_lookup(ids.select(F.col("id").alias("SourceCommonName_ID"), name.alias("SourceCommonName")), "outlets")
+
     @cached_property
     def dictionary(self) -> Lookup:
         k = F.col("c_custkey") % 50

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressgauge.operators import cleaning, features, registry, regression, series
 from pressgauge.operators import indicators as ind
 from pressgauge.operators.lookups import Lookup, stage_lookup
+from pressgauge.sinks import tables as sinks
 from pressgauge.settings import CleaningRules
+from pressgauge.sources import lookups as lookup_source
 
 
 def _chosen(taxonomy: Lookup, sectors: list[str] | None) -> Lookup:
@@ -61,6 +65,79 @@ def source_run(
     return features.source_features(flagged)
 
 
+@dataclass(frozen=True)
+class OutputPaths:
+    """Where complete runs store their tables, below one root."""
+
+    root: str
+
+    def _of(self, name: str) -> str:
+        return f"{self.root.rstrip('/')}/{name}"
+
+    @property
+    def sectors(self) -> str:
+        return self._of("sector-indicators")
+
+    @property
+    def regions(self) -> str:
+        return self._of("regional-indicators")
+
+    @property
+    def features(self) -> str:
+        return self._of("source-features")
+
+    @property
+    def domains(self) -> str:
+        return self._of("domains")
+
+
+def stored_indicators(
+    articles: DataFrame,
+    dictionary: Lookup,
+    taxonomy: Lookup,
+    output: OutputPaths,
+    regions: Lookup | None = None,
+    sectors: list[str] | None = None,
+    rules: CleaningRules = CleaningRules(),
+    unique_ids: bool = True,
+) -> None:
+    """Run and store indicators of the chosen sectors, and per region where regions are given.
+
+    One whitelist serves both. Tables have one folder per sector and year; a
+    later run replaces the folders it writes and leaves all others, so sectors
+    and years can be run one by one or again.
+    """
+    sources = stage_lookup(cleaning.global_whitelist(articles, dictionary, rules), "whitelist")
+    sinks.write_indicators(sector_run(articles, dictionary, taxonomy, sectors, rules, sources), output.sectors)
+    if regions is not None:
+        long = geo_run(articles, dictionary, taxonomy, regions, sectors, rules, sources, unique_ids)
+        sinks.write_indicators(long, output.regions)
+
+
+def stored_features(
+    articles: DataFrame, dictionary: Lookup, output: OutputPaths, min_years: int = 2
+) -> DataFrame:
+    """Store the feature table of all sources, flagged by the stored domains; returns it as stored."""
+    spark = articles.sparkSession
+    source_run(articles, dictionary, spark.read.parquet(output.domains), min_years).write.mode("overwrite").parquet(
+        output.features
+    )
+    return spark.read.parquet(output.features)
+
+
+def registry_run(
+    spark: SparkSession, paths: list[str], dictionary: Lookup, suffixes: Lookup, output: OutputPaths
+) -> DataFrame:
+    """From registry CSV files to stored domains, one folder per region; returns the coverage per region.
+
+    Of several rows for one host, or several hosts of one domain, the first in
+    file order stays. Both results read the files themselves, once each.
+    """
+    entries = lookup_source.registry_files(spark, paths)
+    sinks.write_domains(registry.matched_domains(entries, dictionary, suffixes, ["file", "line_no"]), output.domains)
+    return registry.match_coverage(entries, dictionary, suffixes)
+
+
 def monthly_panel(
     long: DataFrame, macro: DataFrame, metric: str, names: list[str], window: int = 12
 ) -> DataFrame:

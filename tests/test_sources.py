@@ -4,13 +4,15 @@ import gzip
 import math
 import sys
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from pressgauge.operators import features, ingest, registry, topk, vocabulary
 from pressgauge.operators.lookups import measure
-from pressgauge.session import fresh_path
+from pressgauge.plans import runs
+from pressgauge.session import fresh_path, stage, staging
 from pressgauge.sources import lookups as lookup_source
 from pressgauge.sources import raw
 from pressgauge.streaming import jobs
@@ -239,3 +241,49 @@ def test_large_dictionary_moves_only_nameless_articles(spark, monkeypatch):
     large = {tuple(r) for r in cleaning.with_source(articles, Lookup(names, 10**9), True).select(
         "GKGRECORDID", "DocumentIdentifier", "Src_ID").collect()}
     assert small == large and ("r2", "http://a.com/2", 9) in large
+
+
+def test_staged_tables_end_with_their_block(spark, tmp_path):
+    table = spark.range(10)
+    with staging(spark) as outer:
+        kept = stage(table, "a")
+        with pytest.raises(ValueError):
+            with staging(spark) as inner:
+                assert stage(table, "b").count() == 10 and inner.startswith(outer)
+                raise ValueError
+        assert not Path(inner.removeprefix("file:")).exists()
+        assert kept.count() == 10
+        kept.write.parquet(f"{tmp_path}/out")
+    assert not Path(outer.removeprefix("file:")).exists()
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 10
+    assert "scope-" not in fresh_path(spark, "later")
+
+
+def test_registry_run_takes_the_first_row_in_file_order(spark, tmp_path):
+    header = "mediaLabel,typeLabel,countryLabel,inception,website\n"
+    (tmp_path / "eu.csv").write_text(
+        header + "Zeta,daily,A,1900,https://www.a.com/x\nAlpha,daily,B,1901,http://a.com\nSports X,daily,C,,http://b.com\n"
+        "None,daily,D,,\n"
+    )
+    (tmp_path / "us.csv").write_text(header + "Gamma,,E,,news.a.com\nDelta,weekly,F,,unknown.net\n")
+    names = measure(spark.createDataFrame([(1, "a.com"), (2, "b.com")], "SourceCommonName_ID int, SourceCommonName string"))
+    suffixes = measure(spark.createDataFrame([("com",), ("net",)], "suffix string"))
+    output = runs.OutputPaths(f"{tmp_path}/out")
+    coverage = runs.registry_run(spark, [f"{tmp_path}/eu.csv", f"{tmp_path}/us.csv"], names, suffixes, output)
+    assert [(r["region"], r["hosts"], r["matches"], r["rate"]) for r in coverage.collect()] == [
+        ("EU", 1, 1, 100.0), ("US", 2, 1, 50.0)
+    ]
+    stored = spark.read.parquet(output.domains).orderBy("region").collect()
+    assert [(r["region"], r["id"], r["medialabel"], r["typelabel"], r["inception"]) for r in stored] == [
+        ("EU", "1", "Zeta", "daily", "1900"), ("US", "1", "Gamma", "", "")
+    ]
+
+
+def test_every_bucket_has_outlets(spark):
+    from pressgauge.catalogue import load
+
+    made = load().QUERIES
+    volume = made["ag41_skewed_volume_buckets"](spark, "/root/testdata/sf0.01").collect()
+    longevity = made["ag42_skewed_longevity_buckets"](spark, "/root/testdata/sf0.01").collect()
+    assert len(volume) == 5 and len(longevity) == 6
+    assert max(r["pct_volume"] for r in volume) > 30
