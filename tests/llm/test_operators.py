@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -563,3 +564,26 @@ def test_pipeline_stages(spark):
     assert set(mixed.doc_id) <= set(clean.doc_id) and Counter(mixed.doc_id).most_common(1)[0][1] <= 2
     ids = [i for r in docs.collect() for i in r["doc_ids"]]
     assert set(ids) == set(mixed.doc_id)
+
+
+def test_toxicity_ratios_equal_counts_by_hand(spark):
+    texts = ["bad cat", "bad dog", "good cat", "good dog", "good owl", "calm owl"]
+    toxic = [1.0, 1.0, 0.0, 0.0, 0.0, 0.0]
+    sample = spark.createDataFrame(
+        list(zip(texts, toxic, [0, 1, 0, 1, 3, 0])), "text string, label double, fold int"
+    )
+    counts, rows = toxicity._counts(sample)
+    assert rows.tolist() == [[2, 1], [1, 1], [0, 0], [1, 0]]
+    total = counts[[0, 1]].sum(0)
+    cells = list(toxicity._cells(pa.array(texts)))
+    brute = np.zeros((2, toxicity.WIDTH))
+    for text, label, part in zip(cells, toxic, [0, 1, 0, 1, 3, 0]):
+        if part in (0, 1):
+            brute[int(label), text] += 1
+    assert (total == brute).all()
+    share = (brute + 1) / (brute + 1).sum(1, keepdims=True)
+    wanted = np.log(share[1] / share[0])
+    got = toxicity.ratios(total, 1.0, 0.9, 2)
+    left = (np.abs(wanted) >= 0.9) & (brute.sum(0) >= 2)
+    assert left.any() and np.allclose(got, np.where(left, wanted, 0), atol=1e-6)
+    assert toxicity.average_precision(np.array([1.0, 0, 1]), np.array([3.0, 2, 1])) == pytest.approx((1 + 2 / 3) / 2)
