@@ -133,6 +133,50 @@ def test_regions_in_place_equal_the_join_when_ids_are_unique(spark):
     assert ind.regional_articles_by_id(twice, regions).count() == 6
 
 
+def test_weights_move_one_row_per_article(spark):
+    """Hits are counted in the row: the first shuffle takes articles, not themes, and nothing is hashed before it."""
+    clean = clean_rows(spark, *[{"GKGRECORDID": f"i{n}", "EnhancedThemes": "A,1;B,2;A,3;Z,4"} for n in range(50)])
+    weights = ind.article_weights(clean, taxonomy(spark))
+    weights.collect()
+    plan = weights._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Repartition"):]
+    assert "Generate" not in below and "Join" not in below and "Aggregate" not in plan
+    # 50 articles: two categories of s, one of t, both sectors, the total.
+    assert weights.count() == 50 * 6
+
+
+MIXED = [
+    {}, {}, {"Tone": -2.0}, {"GKGRECORDID": "id2", "EnhancedThemes": "A,1;C,5;A,9"}, {"GKGRECORDID": None}, {"GKGRECORDID": None, "Tone": None},
+    {"GKGRECORDID": "id3", "DATE": "20200102120000", "EnhancedThemes": "C,1;Z,2"}, {"DATE": "20200102120000", "EnhancedLocations": "1#b#GM"},
+]
+
+
+@pytest.mark.parametrize("regional, unique_ids", [(False, True), (True, True), (True, False)])
+def test_weights_in_the_row_equal_the_join(spark, regional, unique_ids):
+    """Copies that differ, missing ids and a theme listed twice; a sector's tone is any copy's, so its weights are compared."""
+    listed = [("s", "c", "A"), ("s", "d", "B"), ("t", "c", "A"), ("t", "c", "C"), ("t", "c", "C")]
+    known = measure(spark.createDataFrame(listed, "sector string, cat_key string, theme string"))
+    regions = measure(spark.createDataFrame(
+        [("France", "FR"), ("EU", "FR"), ("EU", "GM"), ("US", "US")], "region_key string, country_code string")) if regional else None
+    clean = clean_rows(spark, *MIXED, {"GKGRECORDID": "id4", "EnhancedLocations": "1#a#FR;1#b#GM"})
+
+    def found(row_themes):
+        rows = ind.article_weights(clean, known, (), regions, unique_ids, row_themes).collect()
+        names = ["period", *(["region_key"] if regional else []), "sector", "granularity"]
+        apart = lambda r: r["granularity"] in "cd"
+        return sorted(str([r[n] for n in names] + [round(r["w"], 9)] + ([r["tone"], r["tone_bin"]] if apart(r) else [])) for r in rows)
+
+    assert found(100) == found(0) != []
+
+
+def test_countries_are_read_once_per_article(spark):
+    regions = measure(spark.createDataFrame([("EU", "FR"), ("US", "US")], "region_key string, country_code string"))
+    keyed = ind.with_region_keys(clean_rows(spark, {"EnhancedLocations": "1#a#FR"}, {"GKGRECORDID": "id2", "EnhancedLocations": None}), regions)
+    plan = keyed.select("GKGRECORDID", "region_keys")._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap(lambda" in plan and "array_distinct" not in plan[plan.index("arrays_overlap"):].split(")")[0]
+    assert {r["GKGRECORDID"]: r["region_keys"] for r in keyed.collect()} == {"id1": ["EU"], "id2": []}
+
+
 def test_wide_table_keeps_days_without_match(spark):
     clean = clean_rows(spark, {}, {"GKGRECORDID": "id2", "DATE": "20200102120000", "EnhancedThemes": "Z,1;Y,2"})
     long = ind.long_indicators(clean, taxonomy(spark), totals=True)
