@@ -48,10 +48,7 @@ def geo_run(
     """The same per region. Tables with repeated ids need ``unique_ids=False``."""
     sources = whitelist or stage_lookup(cleaning.global_whitelist(articles, dictionary, rules), "whitelist")
     clean = cleaning.clean_articles(articles, dictionary, sources, rules)
-    chosen = _chosen(taxonomy, sectors)
-    if unique_ids:
-        return ind.regional_indicators(clean, chosen, regions)
-    return ind.long_indicators(ind.regional_articles_by_id(clean, regions), chosen, ("region_key",))
+    return ind.regional_indicators(clean, _chosen(taxonomy, sectors), regions, unique_ids)
 
 
 def source_run(

@@ -169,6 +169,16 @@ def test_weights_in_the_row_equal_the_join(spark, regional, unique_ids):
     assert found(100) == found(0) != []
 
 
+def test_regions_by_id_need_no_join(spark):
+    """Every copy counts in the regions of all copies, found beside it; the articles are neither joined nor repeated."""
+    regions = measure(spark.createDataFrame([("EU", "FR"), ("US", "US")], "region_key string, country_code string"))
+    clean = clean_rows(spark, {"EnhancedLocations": "1#a#FR"}, {"DATE": "20200102120000", "EnhancedLocations": "1#b#US"})
+    long = ind.regional_indicators(clean, taxonomy(spark), regions, unique_ids=False)
+    assert "Join" not in long._jdf.queryExecution().optimizedPlan().toString()
+    got = {(str(r["period"]), r["region_key"]): r["sum_w"] for r in long.filter("sector = 's' AND granularity = 'c'").collect()}
+    assert got == {(d, r): 0.5 for d in ("2020-01-01", "2020-01-02") for r in ("EU", "US")}
+
+
 def test_countries_are_read_once_per_article(spark):
     regions = measure(spark.createDataFrame([("EU", "FR"), ("US", "US")], "region_key string, country_code string"))
     keyed = ind.with_region_keys(clean_rows(spark, {"EnhancedLocations": "1#a#FR"}, {"GKGRECORDID": "id2", "EnhancedLocations": None}), regions)
