@@ -66,8 +66,9 @@ def raw_folder(t):
         broken = rows.filter(F.col("DATE") == "bad").select("IsTranslingual", ID, F.concat_ws("\t", ID, F.lit("cut")).alias("value"))
         lines = rows.unionByName(repeated).select("IsTranslingual", ID, line.alias("value")).unionByName(broken)
         for flag, name in ((0, "all.gkg.csv"), (1, "all.translation.gkg.csv")):
-            # Repeats of an id lie in one file, as the rule about them needs.
-            lines.filter(F.col("IsTranslingual") == flag).repartition(ID).select("value").write.text(f"{path}/{name}")
+            # Repeats of an id lie in one file, as the rule about them needs. Packed, as such files arrive.
+            chosen = lines.filter(F.col("IsTranslingual") == flag).repartition(ID).select("value")
+            chosen.write.option("compression", "gzip").text(f"{path}/{name}")
         return path
 
     return once(t, "raw", build)

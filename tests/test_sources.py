@@ -287,3 +287,24 @@ def test_every_bucket_has_outlets(spark):
     longevity = made["ag42_skewed_longevity_buckets"](spark, "/root/testdata/sf0.01").collect()
     assert len(volume) == 5 and len(longevity) == 6
     assert max(r["pct_volume"] for r in volume) > 30
+
+
+def test_raw_input_is_packed_and_keeps_repeats_together(spark):
+    from types import SimpleNamespace
+
+    from pressgauge.catalogue import ingest_queries
+
+    rows = [
+        (f"i{n % 40}", "19980101000000" if n % 2 else "bad", 1, n % 3, f"https://a{n % 3}.com/x", "A,1", "1#X#US", "p", "o", 1.5, 11, "", n % 2)
+        for n in range(80)
+    ]
+    schema = ("GKGRECORDID string, DATE string, SourceCollectionIdentifier tinyint, SourceCommonName_ID int, DocumentIdentifier string, "
+              "EnhancedThemes string, EnhancedLocations string, Persons string, Organizations string, Tone double, WordCount int, "
+              "TranslationInfo string, IsTranslingual tinyint")
+    t = SimpleNamespace(spark=spark, gkg=spark.createDataFrame(rows, schema).repartition(5))
+    records = ingest_queries.records(t)
+    files = {r["file"] for r in records.select("file").distinct().collect()}
+    assert files and all(f.endswith(".gz") for f in files)
+    # 40 rows of 1998 come twice, 40 others once; of each id and file one stays.
+    assert records.count() == 120
+    assert ingest_queries.first_in_file(t).count() == 40
