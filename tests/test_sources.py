@@ -308,3 +308,24 @@ def test_raw_input_is_packed_and_keeps_repeats_together(spark):
     # 40 rows of 1998 come twice, 40 others once; of each id and file one stays.
     assert records.count() == 120
     assert ingest_queries.first_in_file(t).count() == 40
+
+
+def test_articles_are_joined_as_text(spark, tmp_path):
+    """The rows that the join of orders and lines sorts hold two texts and no lists of records."""
+    from pressgauge.catalogue.tables import Tables
+
+    given = {
+        "lineitem": "SELECT 1L AS l_orderkey, id + 1 AS l_linenumber, id AS l_partkey, 1L AS l_suppkey, 4.0D AS l_quantity FROM range(2)",
+        "part": "SELECT id AS p_partkey, 'red bolt' AS p_name, 'LARGE' AS p_type FROM range(2)",
+        "supplier": "SELECT 1L AS s_suppkey, 3 AS s_nationkey",
+        "nation": "SELECT 3 AS n_nationkey, 'X' AS n_name",
+        "orders": "SELECT id + 1 AS o_orderkey, 2L AS o_custkey, timestamp'1997-01-02' AS o_orderdate, 'a' AS o_orderpriority, "
+                  "'b' AS o_orderstatus, 1.0D AS o_totalprice FROM range(2)",
+    }
+    for name, text in given.items():
+        spark.sql(text).write.parquet(str(tmp_path / f"{name}.parquet"))
+    plan = Tables(spark, str(tmp_path)).articles_plan()
+    optimized = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in optimized[:optimized.index("Join LeftOuter")] and "array_join" in optimized
+    got = {r["GKGRECORDID"][-1]: (r["EnhancedThemes"], r["EnhancedLocations"], r["WordCount"]) for r in plan.collect()}
+    assert got == {"1": ("RED_BOLT,0;LARGE,1;RED_BOLT,1;LARGE,1", "1#X#N3;1#X#N3", 8), "2": (None, None, None)}
