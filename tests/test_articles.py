@@ -295,3 +295,14 @@ def test_components_of_a_long_chain(spark):
     chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("x", "y"), ("y", "z")]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(chain, "src string, dst string")).collect()}
     assert set(got.values()) == {"n000", "x"} and got["n040"] == "n000" and got["z"] == "x"
+
+
+def test_category_rows_are_numbers_from_two_windows(spark):
+    """An article's category rows hold numbers and no names until they are summed; copies are merged in two passes."""
+    clean = clean_rows(spark, {}, {"Tone": -2.0}, {"GKGRECORDID": "id2", "EnhancedThemes": "B,1;C,2"})
+    long = ind.long_indicators(clean, taxonomy(spark))
+    plan = long._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("\n", plan.index("Aggregate")):]
+    assert ind.SECTOR_ROW not in below and below.count("Window [") == 2
+    assert "filter(array(" not in below
+    assert {(r["sector"], r["granularity"]) for r in long.collect()} >= {("s", "c"), ("s", ind.SECTOR_ROW)}
