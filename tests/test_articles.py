@@ -9,6 +9,7 @@ from pressgauge.operators import cleaning, features, graph, profiling
 from pressgauge.operators import indicators as ind
 from pressgauge.operators import substring
 from pressgauge.operators.lookups import lookup_join, measure
+from pressgauge.session import enough_partitions
 from pressgauge.settings import CleaningRules
 
 SCHEMA = ("GKGRECORDID string, DATE string, SourceCommonName_ID int, DocumentIdentifier string, "
@@ -306,3 +307,31 @@ def test_category_rows_are_numbers_from_two_windows(spark):
     assert ind.SECTOR_ROW not in below and below.count("Window [") == 2
     assert "filter(array(" not in below
     assert {(r["sector"], r["granularity"]) for r in long.collect()} >= {("s", "c"), ("s", ind.SECTOR_ROW)}
+
+
+def test_shuffle_partitions_follow_the_rows(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    with enough_partitions(spark, 101, 10) as n:
+        plan = spark.range(101).selectExpr("id % 7 AS k").groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+        assert n == 11 and "hashpartitioning(k#" in plan and ", 11)" in plan
+    with enough_partitions(spark, 1) as n:
+        assert n == int(before)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+def test_lines_do_not_move_for_their_suppliers(spark, tmp_path):
+    """Suppliers are counted and broadcast, whatever Spark takes their size to be."""
+    from pressgauge.catalogue.tables import Tables
+
+    given = {
+        "lineitem": "SELECT 1L AS l_orderkey, id AS l_suppkey, timestamp'1997-01-02' AS l_shipdate, 2.0D AS l_extendedprice FROM range(4)",
+        "supplier": "SELECT id AS s_suppkey, 3 AS s_nationkey FROM range(2)",
+        "nation": "SELECT 3 AS n_nationkey, 5 AS n_regionkey",
+        "region": "SELECT 5 AS r_regionkey, 'R' AS r_name",
+    }
+    for name, text in given.items():
+        spark.sql(text).write.parquet(str(tmp_path / f"{name}.parquet"))
+    macro = Tables(spark, str(tmp_path)).macro
+    optimized = macro._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in optimized
+    assert [(r["region_key"], r["value"]) for r in macro.collect()] == [("R", 4.0)]
